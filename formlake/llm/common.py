@@ -113,7 +113,7 @@ def _fingerprint(df: DataFrame) -> tuple:
 def _connect(links: DataFrame, larger: bool) -> DataFrame:
     """larger: each node's larger neighbours join its least neighbour or itself. Else: its smaller ones do."""
     own = links if larger else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = own.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m") if larger else F.min("b").alias("m"))
+    least = own.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m") if larger else F.min("b").alias("m"))
     joined = own.join(least, "a")
     if larger:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")

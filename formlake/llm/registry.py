@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from formlake.llm import toxicity
+from formlake.llm import decontamination, sentencepiece_codec, sharding, token_counts, toxicity
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_decontamination": decontamination.OP8_SQL}
 
 
 def queries() -> dict:
-    return {"op9_toxicity": toxicity.op9_toxicity}
+    return {
+        "op5_token_counts": token_counts.op5_token_counts,
+        "op6_sharding": sharding.op6_sharding,
+        "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
+        "op8_decontamination": decontamination.op8_decontamination,
+        "op9_toxicity": toxicity.op9_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

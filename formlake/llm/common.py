@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -120,33 +121,34 @@ def _connect(links: DataFrame, larger: bool) -> DataFrame:
     return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
 
-Verify = Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray]
+#: Given one sorted frame, says for two arrays of row positions which pairs link.
+Verify = Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
-def bucket_links(rows: DataFrame, verify: Verify, chunk: int = 2048, spread: int = 24) -> DataFrame:
+def bucket_links(rows: DataFrame, verify: Verify, chunk: int = 8192, sampled: int = 64) -> DataFrame:
     """Verified links between rows of equal bucket, as spanning edges (a, b) of what each task saw.
 
-    rows: bucket (long), id (long), further columns for verify, which gets one sorted frame and two arrays of
-    row positions and says which pairs link. A bucket of more than `chunk` rows is dealt into chunks, and every
-    two chunks meet in a group of their own: all its pairs are still compared, in bounded memory and many
-    tasks. Only edges that join two parts not yet joined leave a group, so a dense group of n rows gives n - 1.
+    rows: bucket (long), id (long), further columns for verify. Buckets of more than about `chunk` rows are found by
+    counting the ids with one of `sampled` hash values; such a bucket is dealt into chunks and every two chunks meet in a
+    group of their own: all its pairs are still compared, in bounded memory and many tasks. The sample only decides who is
+    split, never who is compared. Edges that join two parts already joined are not made, so a dense group of n
+    rows gives n - 1.
     """
     keep = [c for c in rows.columns if c not in ("bucket", "id")]
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(sizes, "bucket")
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("id", "bucket"), parts).cast("int")
-    dealt = (
-        joined.withColumn("parts", parts).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            F.when(F.col("parts") == 1, F.xxhash64("bucket", F.lit(0), F.lit(0)))
-            .otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))).alias("grp"),
-            "bucket", "id", *keep,
+    some = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(sampled)) == 0)
+    hot = Saved(some.groupBy("bucket").agg((F.count("*") * sampled).alias("n")).where(F.col("n") > chunk))
+    if hot.df.isEmpty():
+        dealt = rows.select(F.col("bucket").alias("grp"), "bucket", "id", *keep)
+    else:
+        parts = F.ceil(F.coalesce("n", F.lit(1)) / chunk).cast("int")
+        mine = F.pmod(F.xxhash64("id", "bucket"), "parts").cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        pair = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
+        dealt = (
+            rows.join(hot.df, "bucket", "left").withColumn("parts", parts).withColumn("mine", mine).withColumn("other", other)
+            .select(F.when(F.col("parts") == 1, F.col("bucket")).otherwise(pair).alias("grp"), "bucket", "id", *keep)
         )
-    )
-    schema = "a long, b long"
-    return dealt.repartition("grp").sortWithinPartitions("grp", "bucket", "id").mapInPandas(_Linker(verify), schema)
+    return dealt.repartition("grp").sortWithinPartitions("grp", "bucket").mapInPandas(_Linker(verify), "a long, b long")
 
 
 class _Linker:
@@ -178,6 +180,7 @@ class _Linker:
         nodes, at = np.unique(ids, return_inverse=True)
         parent = np.arange(len(nodes))
         out_a, out_b = [], []
+        test = self.verify(rows)
         left = np.arange(n - 1)
         for step in range(1, n):
             left = left[left + step < n]
@@ -189,14 +192,14 @@ class _Linker:
             ok &= parent[at[left]] != parent[at[right]]
             x, y = left[ok], right[ok]
             if len(x):
-                good = self.verify(rows, x, y)
+                good = test(x, y)
                 for i, j in zip(at[x[good]].tolist(), at[y[good]].tolist(), strict=True):
                     ri, rj = find(parent, i), find(parent, j)
                     if ri != rj:
                         parent[max(ri, rj)] = min(ri, rj)
                         out_a.append(nodes[i])
                         out_b.append(nodes[j])
-                if len(out_a) % 64 == 0 or good.any():
+                if good.any():
                     parent = flatten(parent)
         return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
 
@@ -215,3 +218,45 @@ def flatten(parent: np.ndarray) -> np.ndarray:
         if np.array_equal(up, parent):
             return parent
         parent = up
+
+
+def block_masks(blocks: int, differ: int) -> list[int]:
+    """Masks of 64 bits: fingerprints with at most `differ` unequal bits agree under one of them at least.
+
+    The bits fall into `blocks` runs; unequal bits spoil `differ` of them at most, so some choice of the others is equal."""
+    ends = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    runs = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(ends, ends[1:], strict=False)]
+    return [sum(c) for c in combinations(runs, blocks - differ)]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def in_blocks(rows: DataFrame, fingerprint: str, blocks: int, differ: int) -> DataFrame:
+    """rows once for each mask, with a bucket for equal masked fingerprints."""
+    masks = block_masks(blocks, differ)
+    buckets = F.array(*[F.xxhash64(F.lit(k), F.col(fingerprint).bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])
+    return rows.withColumn("bucket", F.explode(buckets))
+
+
+def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Signed 64-bit fingerprints of runs of hashes (uint64) that begin at `starts`: a bit set in over half of a run's hashes.
+
+    Every run has a hash at least."""
+    out = np.empty(len(starts), dtype=np.int64)
+    ends = np.append(starts[1:], len(hashes))
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + 65_536, side="right")))
+        own = np.ascontiguousarray(hashes[starts[at] : ends[to - 1]].astype(">u8")).view(np.uint8).reshape(-1, 8)
+        counts = np.zeros((to - at, 64), dtype=np.int64)
+        if to - at == 1:  # a long run in pieces
+            for i in range(0, len(own), 65_536):
+                counts[0] += np.unpackbits(own[i : i + 65_536], axis=1).sum(axis=0, dtype=np.int64)
+        else:
+            counts = np.add.reduceat(np.unpackbits(own, axis=1), starts[at:to] - starts[at], axis=0, dtype=np.int32)
+        over = 2 * counts > (ends[at:to] - starts[at:to])[:, None]
+        out[at:to] = np.packbits(over, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+        at = to
+    return out

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from formlake.llm import decontamination, line_dedup, sentencepiece_codec, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
+from formlake.llm import decontamination, embedding_dedup, fixity, line_dedup, sentencepiece_codec, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
 
-SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.OP2_SQL, "op8_decontamination": decontamination.OP8_SQL}
+SQL: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op3_warc_fixity": fixity.OP3_SQL,
+    "op8_decontamination": decontamination.OP8_SQL,
+}
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_warc_fixity": fixity.op3_warc_fixity,
+        "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_sharding": sharding.op6_sharding,
         "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,

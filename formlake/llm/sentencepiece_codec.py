@@ -27,6 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -196,6 +197,29 @@ def decode(coded: DataFrame, ids: str = "ids", text: str = "decoded", model: str
     return coded.withColumn(text, run(F.col(f"`{ids}`")))
 
 
+class _Recode:
+    def __init__(self, *setting):
+        self.setting = setting
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = codec(*self.setting)
+        for b in batches:
+            texts, pieces, sums = [], [], []
+            for t in b["text"].tolist():
+                ids = own.encode(t, document_key(t)) if t else b""
+                texts.append(own.decode(ids) if t else t)
+                pieces.append(len(ids) // 4)
+                sums.append(zlib.crc32(ids))
+            yield b.assign(text=texts, n_pieces=pieces, ids_crc32=sums)
+
+
+def recode(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 8) -> DataFrame:
+    """docs with their texts encoded and decoded, n_pieces and ids_crc32 (columns of these names are replaced)."""
+    slim = docs.drop("n_pieces", "ids_crc32")
+    schema = StructType([*slim.schema.fields, StructField("n_pieces", LongType()), StructField("ids_crc32", LongType())])
+    return slim.mapInPandas(_Recode(model, dropout, seed, variants), schema)
+
+
 class _RoundTrip:
     """Encodes and decodes in one pass: number of pieces, checksum of the ids, digest of the decoded text."""
 

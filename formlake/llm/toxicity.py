@@ -110,7 +110,7 @@ class ToxicityModel:
     shift: float = 0.0
     constant: float | None = None
     known: dict[str, float] = field(default_factory=dict)
-    room: int = 600_000
+    room: int = 300_000
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
@@ -305,6 +305,21 @@ def detect(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, extra: li
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+class _Keep:
+    def __init__(self, model: ToxicityModel, threshold: float):
+        self.model, self.threshold = model, threshold
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            chance = self.model.chance(self.model.score(b["text"].tolist()))
+            yield b[chance < self.threshold]
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores under the threshold."""
+    return docs.mapInPandas(_Keep(model, threshold), docs.schema)
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -89,15 +89,13 @@ def self_kernel(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.bincount(rows, weights=sums**2, minlength=len(code))
 
 
-def vector(token: str) -> np.ndarray:
-    """The token's normalised triple vector (first piece)."""
-    out = np.zeros(LETTERS**3)
+def vector(token: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and normalised weights of the triples of the token's first piece; none for under three letters."""
     part = pieces(token)[0]
     if len(part[0]) < 3:
-        return out
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
     code, weight = weights_of([part])
-    np.add.at(out, code[0], weight[0])
-    return out / np.linalg.norm(out)
+    return code[0], weight[0] / np.sqrt(self_kernel(code, weight)[0])
 
 
 @dataclass
@@ -179,11 +177,15 @@ class ToxicityModel:
 
 def fit_tokens(positive: list[str], negative: list[str], landmarks: list[str], cost: float = 10.0, steps: int = 12) -> tuple[np.ndarray, float]:
     """Squared-hinge support vector machine in the Nyström space of the landmarks: triple table and bias."""
-    marks = np.array([v for v in map(vector, landmarks) if v.any()])
+    marks = np.zeros((len(landmarks), LETTERS**3))
+    for row, (code, weight) in zip(marks, map(vector, landmarks), strict=True):
+        np.add.at(row, code, weight)
+    marks = marks[marks.any(axis=1)]
     values, basis = np.linalg.eigh(marks @ marks.T)
     good = values > 1e-6 * values.max()
     project = (basis[:, good] / np.sqrt(values[good])).T @ marks  # rows: Nyström features as functions of triples
-    x = np.array([project @ vector(t) for t in [*positive, *negative]])
+    by_triple = np.ascontiguousarray(project.T)
+    x = np.array([weight @ by_triple[code] for code, weight in map(vector, [*positive, *negative])])
     x = np.hstack([x, np.ones((len(x), 1))])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     c = np.where(y > 0, cost / max(1, len(positive)), cost / max(1, len(negative))) * 100

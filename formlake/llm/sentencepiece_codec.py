@@ -61,6 +61,25 @@ class Vocabulary:
                 self.raw.append(piece.replace(MARK, " ").encode())
                 if MARK in piece.lstrip(MARK):
                     raise ValueError(f"a piece goes over a word's end: {piece!r}")
+        self.size = len(self.raw)
+        self.ranks = np.array(self.rank, dtype=np.float64)
+        self.of_char = np.full(0x110000, -1, dtype=np.int64)
+        merges = {}
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = i
+            for cut in range(1, len(piece)):
+                a, b = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                if a is not None and b is not None:
+                    merges[a * self.size + b] = i
+        self.pairs = np.array(sorted(merges), dtype=np.int64)
+        self.merged = np.array([merges[k] for k in self.pairs.tolist()], dtype=np.int64)
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that two neighbouring pieces make, -1 for none."""
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.merged[at], -1)
 
 
 @cache
@@ -70,28 +89,113 @@ def vocabulary(model: str) -> Vocabulary:
 
 
 class Codec:
-    def __init__(self, vocab: Vocabulary, dropout: float = 0.1, seed: int = 0, variants: int = 8, room: int = 400_000):
+    def __init__(self, vocab: Vocabulary, dropout: float = 0.1, seed: int = 0, variants: int = 8, room: int = 300_000):
         self.vocab, self.seed, self.variants, self.room = vocab, seed, variants, room
         self.limit = int(dropout * (1 << 32))
-        self.known = [_Units(self, v) for v in range(variants)]
+        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     def encode(self, text: str, key: int = 0) -> bytes:
         """Ids as 4-byte little-endian integers. key: the document's, turns the variants."""
-        if not text:
-            return b""
-        text = MARK + (text.replace(MARK, OWN_MARK) if MARK in text else text).replace(" ", MARK)
-        units, n = UNIT.findall(text), self.variants
-        if n == 1:
-            out = list(map(self.known[0].__getitem__, units))
-        else:
-            out = [b""] * len(units)
-            for v in range(n):
-                first = (v - key) % n
-                out[first::n] = map(self.known[v].__getitem__, units[first::n])
-        for own in self.known:
-            if len(own) > self.room // n:
-                own.clear()
-        return b"".join(out)
+        return self.encode_many([text], [key])[0]
+
+    def encode_many(self, texts: list[str | None], keys: list[int]) -> list[bytes]:
+        out: list[bytes] = []
+        n, at = self.variants, 0
+        while at < len(texts):
+            if sum(map(len, self.known)) > self.room:
+                for own in self.known:
+                    own.clear()
+            some: list[list[str]] = []
+            size = 0
+            while at + len(some) < len(texts) and size < 150_000:
+                t = texts[at + len(some)]
+                t = MARK + (t.replace(MARK, OWN_MARK) if MARK in t else t).replace(" ", MARK) if t else ""
+                some.append(UNIT.findall(t))
+                size += len(some[-1])
+            fresh: list[set[str]] = [set() for _ in range(n)]
+            for k, units in enumerate(some):
+                for v in range(n):
+                    fresh[v].update(units[(v - keys[at + k]) % n :: n])
+            for v, own in enumerate(self.known):
+                own.update(self.units(list(fresh[v].difference(own)), v))
+            for k, units in enumerate(some):
+                ids = [b""] * len(units)
+                for v in range(n):
+                    first = (v - keys[at + k]) % n
+                    ids[first::n] = map(self.known[v].__getitem__, units[first::n])
+                out.append(b"".join(ids))
+            at += len(some)
+        return out
+
+    def units(self, units: list[str], variant: int) -> dict[str, bytes]:
+        """Ids of many units. Agendas of short units advance side by side, one merge each at a time; others one by one."""
+        out: dict[str, bytes] = {}
+        by_width: dict[int, list[str]] = {}
+        for u in units:
+            by_width.setdefault(8 if len(u) <= 8 else 16 if len(u) <= 16 else 32 if len(u) <= 32 else 0, []).append(u)
+        for u in by_width.pop(0, []):
+            out[u] = np.array(self.unit(u, variant), dtype="<i4").tobytes()
+        for width, own in by_width.items():
+            for i in range(0, len(own), 20_000):
+                out.update(self.side_by_side(own[i : i + 20_000], variant, width))
+        return out
+
+    def side_by_side(self, units: list[str], variant: int, width: int) -> dict[str, bytes]:
+        vocab, n = self.vocab, len(units)
+        size = np.fromiter(map(len, units), dtype=np.int64, count=n)
+        chars = vocab.of_char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        sym = np.full((n, width + 1), -1, dtype=np.int64)
+        sym[np.arange(width + 1)[None, :] < size[:, None]] = chars
+        odd = (sym >= 0).sum(axis=1) < size  # a character outside the vocabulary
+        out = {units[k]: np.array(self.unit(units[k], variant), dtype="<i4").tobytes() for k in np.flatnonzero(odd).tolist()}
+        salt = np.zeros(n, dtype=np.uint64)
+        if self.limit:
+            seed = self.seed * 1_000_003 + variant
+            salt = np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), seed) for u in units), dtype=np.uint64, count=n)
+        place = np.broadcast_to(np.arange(width + 1), sym.shape).copy()
+        live = np.flatnonzero(~odd)
+        sym, place, salt = sym[live], place[live], salt[live]
+        done_rows, done_sym = [], []
+        made = vocab.merge(sym[:, :-1], sym[:, 1:])
+        rank = self.judged(made, place[:, :-1], salt[:, None])
+        cols = np.arange(width + 1)
+        while len(live):
+            best = rank.argmin(axis=1)
+            rows = np.arange(len(live))
+            open_ = np.isfinite(rank[rows, best])
+            if not open_.all():
+                done_rows.append(live[~open_])
+                done_sym.append(sym[~open_])
+                live, sym, place, salt, made, rank, best = (x[open_] for x in (live, sym, place, salt, made, rank, best))
+                rows = np.arange(len(live))
+                if not len(live):
+                    break
+            merged = made[rows, best]
+            after = cols[None, :] > best[:, None]  # what stands behind the merge moves one place to the left
+            sym = np.where(after, np.c_[sym[:, 1:], np.full(len(live), -1)], sym)
+            place = np.where(after, np.c_[place[:, 1:], np.zeros(len(live), dtype=np.int64)], place)
+            sym[rows, best] = merged
+            after = after[:, :-1]
+            made = np.where(after, np.c_[made[:, 1:], np.full(len(live), -1)], made)
+            rank = np.where(after, np.c_[rank[:, 1:], np.full(len(live), np.inf)], rank)
+            for shift in (-1, 0):  # the merge has new neighbours
+                c = np.maximum(best + shift, 0)
+                c = np.minimum(c, width - 1)
+                k = vocab.merge(sym[rows, c], sym[rows, c + 1])
+                made[rows, c], rank[rows, c] = k, self.judged(k, place[rows, c], salt)
+        if done_rows:
+            for k, row in zip(np.concatenate(done_rows).tolist(), np.concatenate(done_sym).astype("<i4"), strict=True):
+                out[units[k]] = row[row >= 0].tobytes()
+        return out
+
+    def judged(self, made: np.ndarray, place: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """Ranks of candidate merges; infinite for none and for those that the keyed hash skips."""
+        rank = np.where(made >= 0, self.vocab.ranks[np.maximum(made, 0)], np.inf)
+        if self.limit:
+            h = (salt ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + made.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            rank = np.where((h >> np.uint64(32)) < np.uint64(self.limit), np.inf, rank)
+        return rank
 
     def decode(self, ids: bytes) -> str:
         raw = self.vocab.raw
@@ -143,17 +247,6 @@ class Codec:
         return out
 
 
-class _Units(dict):
-    """Ids of the units met so far, in one variant."""
-
-    def __init__(self, codec: Codec, variant: int):
-        self.codec, self.variant = codec, variant
-
-    def __missing__(self, unit: str) -> bytes:
-        out = self[unit] = np.array(self.codec.unit(unit, self.variant), dtype="<i4").tobytes()
-        return out
-
-
 _codecs: dict[tuple, Codec] = {}
 
 
@@ -178,7 +271,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = M
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(model, dropout, seed, variants)
         for b in batches:
-            yield pd.Series([None if t is None else np.frombuffer(own.encode(t, document_key(t)), dtype="<i4") for t in b], dtype=object)
+            coded = own.encode_many(b.tolist(), list(map(document_key, b)))
+            yield pd.Series([None if t is None else np.frombuffer(x, dtype="<i4") for t, x in zip(b, coded, strict=True)], dtype=object)
 
     return docs.withColumn(ids, run(F.col(f"`{text}`")))
 
@@ -205,11 +299,13 @@ class _Recode:
         own = codec(*self.setting)
         for b in batches:
             texts, pieces, sums = [], [], []
-            for t in b["text"].tolist():
-                ids = own.encode(t, document_key(t)) if t else b""
-                texts.append(own.decode(ids) if t else t)
-                pieces.append(len(ids) // 4)
-                sums.append(zlib.crc32(ids))
+            given = b["text"].tolist()
+            for i in range(0, len(given), 500):
+                some = given[i : i + 500]
+                for t, ids in zip(some, own.encode_many(some, list(map(document_key, some))), strict=True):
+                    texts.append(own.decode(ids) if t else t)
+                    pieces.append(len(ids) // 4)
+                    sums.append(zlib.crc32(ids))
             yield b.assign(text=texts, n_pieces=pieces, ids_crc32=sums)
 
 
@@ -229,15 +325,16 @@ class _RoundTrip:
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(*self.setting)
         for b in batches:
-            rows = []
-            for t in b["text"].tolist():
-                if t is None:
-                    rows.append((0, 0, None, True))
-                    continue
-                raw = t.encode("utf-8")
-                ids = own.encode(t, zlib.crc32(raw))
-                back = own.decode(ids).encode("utf-8")
-                rows.append((len(ids) // 4, zlib.crc32(ids), sha256(back).hexdigest(), back == raw))
+            rows, texts = [], b["text"].tolist()
+            raws = [None if t is None else t.encode("utf-8") for t in texts]
+            for i in range(0, len(texts), 500):
+                some = raws[i : i + 500]
+                for raw, ids in zip(some, own.encode_many(texts[i : i + 500], [zlib.crc32(r or b"") for r in some]), strict=True):
+                    if raw is None:
+                        rows.append((0, 0, None, True))
+                        continue
+                    back = own.decode(ids).encode("utf-8")
+                    rows.append((len(ids) // 4, zlib.crc32(ids), sha256(back).hexdigest(), back == raw))
             out = pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "decoded_sha256", "lossless"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out

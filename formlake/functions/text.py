@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Unicode classes, and line ends at line feeds only: as Python reads a pattern.
 PLAIN, NO_CASE, NO_CASE_LINES = "(?dU)", "(?idU)(?u)", "(?imdU)(?u)"
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def java(pattern: str, flags: str = PLAIN) -> str:

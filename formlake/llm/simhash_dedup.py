@@ -99,7 +99,8 @@ def classes(docs: DataFrame, differ: int = 3, blocks: int = 5, pivots: int = 16,
         least = linked.groupBy("root").agg(F.min("first").alias("least"))
         least = linked.join(least, "root").select("fp", "least")
         label = own.df.join(least, "fp", "left").select("fp", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"))
-    return rows.df.join(label, "fp")
+    # written first, so that a fingerprint with very many documents is a join key that adaptive execution can split
+    return rows.df.join(Saved(label).df, "fp")
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:

@@ -234,10 +234,10 @@ def signed(x: int) -> int:
 
 
 def in_blocks(rows: DataFrame, fingerprint: str, blocks: int, differ: int) -> DataFrame:
-    """rows once for each mask, with a bucket for equal masked fingerprints."""
+    """rows once for each mask, with its number and a bucket for equal masked fingerprints."""
     masks = block_masks(blocks, differ)
     buckets = F.array(*[F.xxhash64(F.lit(k), F.col(fingerprint).bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])
-    return rows.withColumn("bucket", F.explode(buckets))
+    return rows.select("*", F.posexplode(buckets).alias("mask", "bucket"))
 
 
 def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:

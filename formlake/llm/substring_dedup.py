@@ -230,7 +230,7 @@ def dedup(docs: DataFrame, size: int = 50, anchor: int = 25, batches: int = 2) -
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = slim.where("doc_id is not null")
-    cuts = sorted(set(named.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)))
+    cuts = sorted(set(named.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     index, found = FingerprintIndex(spark, size, anchor), None
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         inside = named

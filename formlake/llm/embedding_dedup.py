@@ -264,3 +264,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.9
 
 def op4_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Exact comparison of all pairs of a label; the graph search finds the same links on small tables.
+OP4_SQL = """
+with recursive v as (
+  select row_number() over () as rid, vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+fit as (
+  select * from v where vec_id is not null and label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+link as (select a.rid as a, b.rid as b from fit a join fit b on a.label = b.label and a.rid <> b.rid and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+n as (select a as rid, count(*) as n_links from link group by a),
+walk as (select rid, vec_id as root from fit union select link.b, walk.root from walk join link on link.a = walk.rid),
+least as (select rid, min(root) as root from walk group by rid)
+select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, coalesce(root, vec_id) as component_id, coalesce(coalesce(root, vec_id) = vec_id, true) as kept
+from v left join n using (rid) left join least using (rid)
+"""

@@ -7,6 +7,7 @@ from formlake.llm import decontamination, embedding_dedup, fixity, line_dedup, s
 SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op3_warc_fixity": fixity.OP3_SQL,
+    "op4_embedding_dedup": embedding_dedup.OP4_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
 }
 

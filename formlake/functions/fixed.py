@@ -8,8 +8,9 @@ _ADDRESS = r"\s*:?\s*((?:[^\n]+(?:\n[^\n:]+)*?)(?=\s*(?:phone|mobile|contact|tel
 _DAY = r"\s*:?\s*(\d{1,2}[\-/\.]\d{1,2}[\-/\.]\d{2,4})"
 _REST = r"\s*:?\s*([^\n]+)"
 _PART = r"\s*:?\s*([^\n,]+)"
+NAME_LINES = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s*$"
 MAPPER_FIELDS = {
-    "name": ([r"(?:full\s+)?name" + _REST, r"applicant'?s?\s+name" + _REST, r"person\s+name" + _REST, r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s*$"],
+    "name": ([r"(?:full\s+)?name" + _REST, r"applicant'?s?\s+name" + _REST, r"person\s+name" + _REST, NAME_LINES],
              ["full_name", "applicant_name", "person_name", "student_name"]),
     "father_name": ([r"father'?s?\s+name" + _REST, r"father" + _REST], ["father", "fathers_name"]),
     "mother_name": ([r"mother'?s?\s+name" + _REST, r"mother" + _REST], ["mother", "mothers_name"]),
@@ -42,7 +43,7 @@ MAPPER_FIELDS = {
 MATCHER_THRESHOLD = 0.7
 MATCHER_FIELDS = {
     "name": ([r"(?:^|\n)\s*(?:name|full\s+name|applicant\s+name|person\s+name)\s*[:]\s*", r"(?:^|\n)\s*(?:name|full\s+name)\s*[=]\s*", r"name\s+is\s+"],
-             [r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"], ["full_name", "applicant_name", "person_name", "fullname"]),
+             [r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)++)"], ["full_name", "applicant_name", "person_name", "fullname"]),
     "date_of_birth": ([r"(?:^|\n)\s*(?:dob|date\s+of\s+birth|d\.o\.b|birth\s+date|birthdate)\s*[:]\s*", r"(?:^|\n)\s*(?:dob|date\s+of\s+birth)\s*[=]\s*"],
                       [r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"(\d{4}[/-]\d{2}[/-]\d{2})"], ["dob", "birth_date", "birthdate", "date_of_birth"]),
     "id_number": ([r"(?:^|\n)\s*(?:id|id\s+no|id\s+number|document\s+number|identification\s+number)\s*[:]\s*", r"(?:^|\n)\s*(?:id|id\s+no)\s*[=]\s*"],

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from formlake.functions import fixed
+
 #: Unicode classes, and line ends at line feeds only: as Python reads a pattern.
 PLAIN, NO_CASE, NO_CASE_LINES = "(?dU)", "(?idU)(?u)", "(?imdU)(?u)"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -14,6 +16,28 @@ def java(pattern: str, flags: str = PLAIN) -> str:
     return flags + pattern
 
 
+def _name_lines(text: Column) -> Column:
+    """The text with a colon for every line that no run of words of two letters or more can cover."""
+    return F.regexp_replace(text, java(r"^(?:.*[^a-z\s].*|(?:.*[^\S\n])?[a-z](?:[^\S\n].*)?)$", NO_CASE_LINES), ":")
+
+
+#: Equal to the fixed pattern on such a text, and without a step of the stack for each word.
+_NAME_LINES = r"^([A-Z][a-z]++(?:\s++[A-Z][a-z]++)++)\s*$"
+
+
+def first_group(text: Column, pattern: str) -> Column:
+    """The first match's first group, as re.search with IGNORECASE and MULTILINE gives it; "" for none."""
+    if pattern == fixed.NAME_LINES:
+        return F.regexp_extract(_name_lines(text), java(_NAME_LINES, NO_CASE_LINES), 1)
+    return F.regexp_extract(text, java(pattern, NO_CASE_LINES), 1)
+
+
+def hits(text: Column, pattern: str) -> Column:
+    if pattern == fixed.NAME_LINES:
+        return _name_lines(text).rlike(java(_NAME_LINES, NO_CASE_LINES))
+    return text.rlike(java(pattern, NO_CASE_LINES))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formlake.functions import fixed
-from formlake.functions.text import NO_CASE, NO_CASE_LINES, PLAIN, collapse, java, normal_key, split_lines, strip
+from formlake.functions.text import NO_CASE, PLAIN, collapse, first_group, java, normal_key, split_lines, strip
 from formlake.operators.templates import available
 
 FIELDS = {k: p for k, (p, _) in fixed.MAPPER_FIELDS.items()}
@@ -46,7 +46,7 @@ def value_confidence(field: Column, value: Column) -> Column:
 def extract_fields(docs: DataFrame, fields: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, field, value, confidence, pattern_idx): each field's best value in the text; the earliest pattern wins ties."""
     cands = [
-        F.struct(F.lit(k).alias("field"), F.lit(i).alias("pattern_idx"), clean_value(F.regexp_extract("text", java(p, NO_CASE_LINES), 1)).alias("value"))
+        F.struct(F.lit(k).alias("field"), F.lit(i).alias("pattern_idx"), clean_value(first_group(F.col("text"), p)).alias("value"))
         for k, patterns in (fields or FIELDS).items() for i, p in enumerate(patterns)
     ]
     # lateral: candidates are made and judged row by row, then the best of each field of a document is taken

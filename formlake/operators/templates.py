@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formlake.functions import fixed
+from formlake.functions.text import hits
 
 SCHEMA = "registry string, name string, patterns array<string>, value_patterns array<string>, synonyms array<string>, required boolean, threshold double, version long"
 
@@ -79,12 +80,10 @@ def load(templates: DataFrame, path: str) -> DataFrame:
 
 def available(text: Column, field: str, patterns: list[str], synonyms: list[str]) -> Column:
     """Whether any pattern hits the lower-cased text, or any synonym stands in it."""
-    from formlake.functions.text import NO_CASE_LINES, java
-
     low = F.lower(text)
     out = F.lit(False)
     for p in patterns:
-        out = out | low.rlike(java(p, NO_CASE_LINES))
+        out = out | hits(low, p)
     for s in synonyms:
         out = out | low.contains(s.lower())
     return out

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formlake.functions import fixed
-from formlake.functions.text import NO_CASE_LINES, java
+from formlake.functions.text import first_group
 from formlake.operators import extract, templates
 
 CASES = {
@@ -36,10 +36,10 @@ def test_worked_cases(mapped, case):
 
 
 def test_patterns_agree_with_python(spark):
-    texts = [t for t, _ in CASES.values()] + ["x\ry: Name: A B C", "address: 12 Road\nphone 9000000001", "UID 1234 5678 9012 9", "e-mail a.b@c.org\nCity: Köln, Town"]
+    texts = [t for t, _ in CASES.values()] + ["x\ry: Name: A B C", "address: 12 Road\nphone 9000000001", "UID 1234 5678 9012 9", "e-mail a.b@c.org\nCity: Köln, Town", "Asha Rao\nRavi, x", "x1\nRavi\n\nasha rao \nA b", "Asha Rao\nRavi A", "A\nRao Asha", "über Rao\nab cd ", "one " * 9000 + "end", "word " * 3000 + "."]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
     patterns = [p for ps, _ in fixed.MAPPER_FIELDS.values() for p in ps]
-    got = docs.select("doc_id", *[F.regexp_extract("text", java(p, NO_CASE_LINES), 1).alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
+    got = docs.select("doc_id", *[first_group(F.col("text"), p).alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
     for r in got:
         for i, p in enumerate(patterns):
             m = re.search(p, texts[r["doc_id"]], re.IGNORECASE | re.MULTILINE)

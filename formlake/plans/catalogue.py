@@ -83,14 +83,28 @@ def field_values_forms(spark, d):
     return found.select("doc_id", "field", "value", F.round("confidence", 6).alias("confidence"))
 
 
-_DOC_FIELDS = {"aadhaar_number": r"(?im)(?:aadhaar|aadhar|uid)\s*(?:no\.?|number)?\s*:?\s*(\d{4}\s*\d{4}\s*\d{4})", "email": _FIELD_SQL["email"], "pan_number": _FIELD_SQL["pan_number"], "zip_code": _FIELD_SQL["zip_code"]}
+#: Fields whose patterns have no look-around, which DuckDB's expressions lack.
+_PLAIN_FIELDS = {k: p for k, p in extract.FIELDS.items() if k not in ("address", "phone")}
 
 
-@query(f"with v as ({_confidence_sql(_values_sql('documents', _DOC_FIELDS))}) select field, count(*) as n, round(avg(confidence), 6) as mean_confidence from v group by field")
+def _best_sql(source: str, fields: dict[str, list[str]]) -> str:
+    """Best value of each field and document: highest confidence, then earliest pattern."""
+    one = " union all ".join(
+        f"select doc_id, '{k}' as field, {i} as idx, regexp_extract(text, '(?im)" + p.replace("'", "''") + "', 1) as raw from " + source for k, ps in fields.items() for i, p in enumerate(ps))
+    return f"""cand as ({one}), val as (select doc_id, field, idx, trim(trim(trim(regexp_replace(raw, '\\s+', ' ', 'g')), ':')) as value from cand where raw <> ''),
+  conf as (select *, least(1.0::double, greatest(0.0::double, 0.7::double + case when length(value) > 2 then 0.1::double else 0 end + case when length(value) > 5 then 0.1::double else 0 end
+    + case when regexp_matches(value, '[^\\p{{L}}\\p{{N}}_\\s@.\\-+()]') then 0 else 0.1::double end + case when field = 'email' then 0.1::double else 0 end)) as confidence from val where value <> ''),
+  best as (select *, row_number() over (partition by doc_id, field order by confidence desc, idx) as r from conf)"""
+
+
+@query(f"with {_best_sql('documents', _PLAIN_FIELDS)} select field, count(*) as n, round(avg(confidence), 6) as mean_confidence from best where r = 1 group by field")
 def field_summary_documents(spark, d):
-    docs = table(spark, d, "documents")
-    own = {k: extract.FIELDS[k][:1] for k in _DOC_FIELDS}
-    return extract.summary(extract.extract_fields(docs, own))
+    return extract.summary(extract.extract_fields(table(spark, d, "documents"), _PLAIN_FIELDS))
+
+
+@query(f"with {FORMS_CTE}, {_best_sql('forms', _PLAIN_FIELDS)} select field, count(*) as n, round(avg(confidence), 6) as mean_confidence from best where r = 1 group by field")
+def field_summary_forms(spark, d):
+    return extract.summary(extract.extract_fields(form_docs(spark, d), _PLAIN_FIELDS))
 
 
 @query()

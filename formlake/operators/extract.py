@@ -15,6 +15,28 @@ from formlake.operators.templates import available
 
 FIELDS = {k: p for k, (p, _) in fixed.MAPPER_FIELDS.items()}
 
+#: Words of which a text must hold one for a field's first, second, ... pattern to match; without an entry, none.
+NEEDED = {
+    "name": ["name", "applicant", "person"], "father_name": ["father", "father"], "mother_name": ["mother", "mother"], "date_of_birth": ["birth", "dob", "born"],
+    "gender": ["sex gender"], "address": ["address", "residential", "permanent", "home"], "phone": ["phone mobile contact", "tel"], "email": ["mail"], "city": ["city", "town"],
+    "state": ["state", "province"], "zip_code": ["zip postal pin"], "aadhaar_number": ["aadhaar aadhar uid"], "pan_number": ["pan"], "passport_number": ["passport"],
+    "license_number": ["license licence dl"], "voter_id": ["voter epic"], "occupation": ["occupation", "profession"], "blood_group": ["blood", "blood"],
+    "marital_status": ["marital"], "nationality": ["nationality"], "emergency_contact": ["emergency"],
+}
+_WORDS = {p: w.split() for k, words in NEEDED.items() for p, w in zip(FIELDS[k], words, strict=False)}
+
+
+def _searched(pattern: str) -> Column:
+    """The pattern's first group in `text`, sought only where `low`, the text in small letters, holds a word that the pattern needs."""
+    found = first_group(F.col("text"), pattern)
+    words = _WORDS.get(pattern)
+    if not words:
+        return found
+    holds = F.col("low").contains(words[0])
+    for w in words[1:]:
+        holds = holds | F.col("low").contains(w)
+    return F.when(holds, found).otherwise("")
+
 
 def available_fields(docs: DataFrame, templates: dict | None = None) -> DataFrame:
     """(doc_id, field) for each field with a pattern or a synonym in the text."""
@@ -46,10 +68,11 @@ def value_confidence(field: Column, value: Column) -> Column:
 def extract_fields(docs: DataFrame, fields: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, field, value, confidence, pattern_idx): each field's best value in the text; the earliest pattern wins ties."""
     cands = [
-        F.struct(F.lit(k).alias("field"), F.lit(i).alias("pattern_idx"), clean_value(first_group(F.col("text"), p)).alias("value"))
+        F.struct(F.lit(k).alias("field"), F.lit(i).alias("pattern_idx"), clean_value(_searched(p)).alias("value"))
         for k, patterns in (fields or FIELDS).items() for i, p in enumerate(patterns)
     ]
     # lateral: candidates are made and judged row by row, then the best of each field of a document is taken
+    docs = docs.select("doc_id", "text", F.translate(F.lower("text"), "\u017f", "s").alias("low"))  # a long s counts as an s without case
     found = docs.select("doc_id", F.filter(F.array(*cands), lambda c: c["value"] != "").alias("found"))
     scored = F.transform("found", lambda c: F.struct(c["field"].alias("field"), value_confidence(c["field"], c["value"]).alias("confidence"), (-c["pattern_idx"]).alias("order"), c["value"].alias("value")))
     scored = found.select("doc_id", F.filter(scored, lambda c: c["confidence"] > 0).alias("scored"))

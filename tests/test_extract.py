@@ -66,3 +66,11 @@ def test_templates_grow_and_reload(spark, tmp_path):
     assert back.count() == base.count() + 2
     with pytest.raises(ValueError):
         templates.add(base, "mapper", "bad", ["no group"])
+
+
+def test_needed_words_lose_nothing(spark, monkeypatch):
+    texts = [t for t, _ in CASES.values()] + ["\u017fex: male", "UID 1234 5678 9012", "Home Address: 1 Road", "dl no 77-AB", "born on 1/2/1990", "EPIC ABC1234567", "telephone 9876543210"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    quick = sorted(map(tuple, extract.extract_fields(docs).collect()))
+    monkeypatch.setattr(extract, "_WORDS", {})
+    assert quick == sorted(map(tuple, extract.extract_fields(docs).collect()))

@@ -125,30 +125,32 @@ def _connect(links: DataFrame, larger: bool) -> DataFrame:
 Verify = Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
-def bucket_links(rows: DataFrame, verify: Verify, chunk: int = 8192, sampled: int = 64) -> DataFrame:
+def bucket_links(rows: DataFrame, verify: Verify, bucket: Column | None = None, chunk: int = 8192, sampled: int = 64) -> DataFrame:
     """Verified links between rows of equal bucket, as spanning edges (a, b) of what each task saw.
 
-    rows: bucket (long), id (long), further columns for verify. Buckets of more than about `chunk` rows are found by
+    rows: id (long), further columns for verify; bucket: an expression over them, else the column bucket. Only the columns travel, the
+    bucket is worked out again where rows arrive. Buckets of more than about `chunk` rows are found by
     counting the ids with one of `sampled` hash values; such a bucket is dealt into chunks and every two chunks meet in a
     group of their own: all its pairs are still compared, in bounded memory and many tasks. The sample only decides who is
     split, never who is compared. Edges that join two parts already joined are not made, so a dense group of n
     rows gives n - 1.
     """
+    bucket = F.col("bucket") if bucket is None else bucket
     keep = [c for c in rows.columns if c not in ("bucket", "id")]
     some = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(sampled)) == 0)
-    hot = Saved(some.groupBy("bucket").agg((F.count("*") * sampled).alias("n")).where(F.col("n") > chunk))
+    hot = Saved(some.groupBy(bucket.alias("bucket")).agg((F.count("*") * sampled).alias("n")).where(F.col("n") > chunk))
     if hot.df.isEmpty():
-        dealt = rows.select(F.col("bucket").alias("grp"), "bucket", "id", *keep)
+        dealt = rows.repartition(bucket).select(bucket.alias("grp"), bucket.alias("bucket"), "id", *keep)
     else:
         parts = F.ceil(F.coalesce("n", F.lit(1)) / chunk).cast("int")
         mine = F.pmod(F.xxhash64("id", "bucket"), "parts").cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         pair = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
         dealt = (
-            rows.join(hot.df, "bucket", "left").withColumn("parts", parts).withColumn("mine", mine).withColumn("other", other)
-            .select(F.when(F.col("parts") == 1, F.col("bucket")).otherwise(pair).alias("grp"), "bucket", "id", *keep)
+            rows.withColumn("bucket", bucket).join(hot.df, "bucket", "left").withColumn("parts", parts).withColumn("mine", mine).withColumn("other", other)
+            .select(F.when(F.col("parts") == 1, F.col("bucket")).otherwise(pair).alias("grp"), "bucket", "id", *keep).repartition("grp")
         )
-    return dealt.repartition("grp").sortWithinPartitions("grp", "bucket").mapInPandas(_Linker(verify), "a long, b long")
+    return dealt.sortWithinPartitions("grp", "bucket").mapInPandas(_Linker(verify), "a long, b long")
 
 
 class _Linker:
@@ -233,30 +235,34 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def in_blocks(rows: DataFrame, fingerprint: str, blocks: int, differ: int) -> DataFrame:
-    """rows once for each mask, with its number and a bucket for equal masked fingerprints."""
-    masks = block_masks(blocks, differ)
-    buckets = F.array(*[F.xxhash64(F.lit(k), F.col(fingerprint).bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])
-    return rows.select("*", F.posexplode(buckets).alias("mask", "bucket"))
+def in_blocks(rows: DataFrame, blocks: int, differ: int) -> DataFrame:
+    """rows once for each mask, with its number."""
+    return rows.select("*", F.explode(F.array(*[F.lit(k).cast("short") for k in range(len(block_masks(blocks, differ)))])).alias("mask"))
+
+
+def block_bucket(fingerprint: str, blocks: int, differ: int) -> Column:
+    """Equal for fingerprints that agree under the mask of their row."""
+    masks = F.array(*[F.lit(signed(m)) for m in block_masks(blocks, differ)])
+    return F.xxhash64("mask", F.col(fingerprint).bitwiseAND(F.element_at(masks, F.col("mask") + 1)))
 
 
 def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Signed 64-bit fingerprints of runs of hashes (uint64) that begin at `starts`: a bit set in over half of a run's hashes.
 
-    Every run has a hash at least."""
+    Every run has a hash at least. Bits are counted in 8 words of 8 one-byte counters, so in pieces of at most 255 hashes."""
     out = np.empty(len(starts), dtype=np.int64)
     ends = np.append(starts[1:], len(hashes))
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + 65_536, side="right")))
-        own = np.ascontiguousarray(hashes[starts[at] : ends[to - 1]].astype(">u8")).view(np.uint8).reshape(-1, 8)
-        counts = np.zeros((to - at, 64), dtype=np.int64)
-        if to - at == 1:  # a long run in pieces
-            for i in range(0, len(own), 65_536):
-                counts[0] += np.unpackbits(own[i : i + 65_536], axis=1).sum(axis=0, dtype=np.int64)
-        else:
-            counts = np.add.reduceat(np.unpackbits(own, axis=1), starts[at:to] - starts[at], axis=0, dtype=np.int32)
-        over = 2 * counts > (ends[at:to] - starts[at:to])[:, None]
-        out[at:to] = np.packbits(over, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
-        at = to
+    for at in range(0, len(starts), 8192):
+        lo, hi = starts[at : at + 8192], ends[at : at + 8192]
+        pieces = -(-(hi - lo) // 255)
+        run = np.repeat(np.arange(len(lo)), pieces)
+        cut = lo[run] + 255 * (np.arange(len(run)) - (np.cumsum(pieces) - pieces)[run])
+        counts = np.zeros((len(lo), 64), dtype=np.int64)
+        for i in range(0, len(cut), 2048):
+            own, end = cut[i : i + 2048], cut[i + 2048] if i + 2048 < len(cut) else hi[-1]
+            lanes = np.unpackbits(hashes[own[0] : end].astype(">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)
+            sums = np.add.reduceat(lanes, own - own[0], axis=0).view(np.uint8).reshape(-1, 64)
+            np.add.at(counts, run[i : i + 2048], sums)
+        over = 2 * counts > (hi - lo)[:, None]
+        out[at : at + 8192] = np.packbits(over, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
     return out

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlake.llm.common import Saved, bucket_links, components, in_blocks, majority, text_key
+from formlake.llm.common import Saved, block_bucket, bucket_links, components, in_blocks, majority, text_key
 
 
 def shingle_hashes(text: str | None, size: int = 3) -> list[int]:
@@ -90,8 +90,8 @@ def classes(docs: DataFrame, differ: int = 3, blocks: int = 5, pivots: int = 16,
     slim = docs.select("doc_id", text_key(F.col("text")).alias("tk"), "text")
     rows = Saved(slim.mapInPandas(_Fingerprint(size), f"doc_id {kind}, tk string, fp long"))
     own = Saved(rows.df.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    distinct = in_blocks(own.df.select(F.col("fp").alias("id")), "id", blocks, differ)
-    roots = components(bucket_links(distinct, PivotFilter(differ, pivots)))
+    distinct = in_blocks(own.df.select(F.col("fp").alias("id")), blocks, differ)
+    roots = components(bucket_links(distinct, PivotFilter(differ, pivots), block_bucket("id", blocks, differ)))
     if roots is None:
         label = own.df.select("fp", F.col("first").alias("component_id"))
     else:

@@ -89,7 +89,7 @@ def vocabulary(model: str) -> Vocabulary:
 
 
 class Codec:
-    def __init__(self, vocab: Vocabulary, dropout: float = 0.1, seed: int = 0, variants: int = 8, room: int = 300_000):
+    def __init__(self, vocab: Vocabulary, dropout: float = 0.1, seed: int = 0, variants: int = 8, room: int = 1_000_000):
         self.vocab, self.seed, self.variants, self.room = vocab, seed, variants, room
         self.limit = int(dropout * (1 << 32))
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]

@@ -209,6 +209,60 @@ class _Linker:
         return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
 
 
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Well spread 64-bit values."""
+    h = (h ^ (h >> np.uint64(30))) * _MIX[1]
+    h = (h ^ (h >> np.uint64(27))) * _MIX[2]
+    return h ^ (h >> np.uint64(31))
+
+
+def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, width: int, kind: int = 0) -> np.ndarray:
+    """MinHash keys (sets, bands) of runs of spread hashes (uint64) that begin at `starts`; every run has a hash at least.
+
+    One hash a member: it falls into one of bands * width bins, and a bin keeps its least value; an empty bin takes the value
+    of another one in an order that is the same for all sets. Two sets of Jaccard similarity j agree on a band in about j ** width of cases."""
+    bins, ends = bands * width, np.append(starts[1:], len(hashes))
+    empty = np.uint64(1 << 32)
+    least = np.full(len(starts) * bins, empty)
+    at = np.repeat(np.arange(len(starts)), ends - starts) * bins + (((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(least, at, hashes & np.uint64(0xFFFFFFFF))
+    least = least.reshape(-1, bins)
+    given = least.copy()
+    for turn in np.random.default_rng(42).integers(0, bins, (64, bins)):
+        holes = np.flatnonzero((least == empty).any(axis=1))
+        if not len(holes):
+            break
+        least[holes] = np.where(least[holes] == empty, given[holes][:, turn], least[holes])
+    least = np.where(least == empty, given.min(axis=1)[:, None], least).reshape(-1, bands, width)
+    key = np.zeros(least.shape[:2], dtype=np.uint64)
+    for k in range(width):
+        key = mixed(key + least[:, :, k] + _MIX[0])
+    return ((key >> np.uint64(32)) | (np.uint64(kind << 8) + np.arange(bands, dtype=np.uint64)) << np.uint64(32)).view(np.int64)
+
+
+class _Meet:
+    """Every two rows of a bucket."""
+
+    def __call__(self, rows: pd.DataFrame):
+        return lambda x, y: np.ones(len(x), dtype=bool)
+
+
+def shared_keys(rows: DataFrame) -> Saved:
+    """(id, bucket) for each of a row's `keys` that another id has too. rows: id (once each) and keys (array<long>)."""
+    one = rows.select("id", F.explode("keys").alias("bucket"))
+    met = bucket_links(one, _Meet())
+    some = Saved(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    few = Saved(rows.join(some.df.hint("merge"), "id").select("id", F.explode("keys").alias("bucket")))
+    some.drop()
+    often = few.df.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    out = Saved(few.df.join(often.hint("merge"), "bucket").select("id", "bucket"))
+    few.drop()
+    return out
+
+
 def find(parent: np.ndarray, i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]

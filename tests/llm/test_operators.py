@@ -115,6 +115,27 @@ def test_line_dedup_against_all_pairs(spark):
     assert got == want
 
 
+def test_line_dedup_against_edit_similarity_alone(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9)))
+    lines = []
+    for n in (1, 2, 5, 10, 20, 50):
+        for _ in range(6):
+            words = [word() for _ in range(n)]
+            typo, other = list(words), list(words)
+            typo[r.randrange(n)] += "x"
+            if n > 5:
+                other[r.randrange(n)] = word()
+            lines += [" ".join(words), " ".join(typo), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    linked = {i: {j for j, b in enumerate(lines) if line_dedup.similar(a, b, 0.8)} for i, a in enumerate(lines)}
+    want = reach(range(len(lines)), linked)
+    got = {x["doc_id"]: x["keep"]["doc_id"] for x in line_dedup.lines_with_class(df, bands=line_dedup.BANDS).collect()}
+    assert got == want
+    cut = {x["doc_id"]: x["text"] for x in line_dedup.dedup(df).collect()}
+    assert cut == {i: t if want[i] == i else "" for i, t in enumerate(lines)}
+
+
 def test_edit_distance():
     def plain(a, b):
         p = list(range(len(b) + 1))

@@ -85,7 +85,7 @@ class PivotFilter:
 
 
 def classes(docs: DataFrame, differ: int = 3, blocks: int = 5, pivots: int = 16, size: int = 3) -> DataFrame:
-    """doc_id, tk (key of the text), fp (signed), component_id: the smallest doc_id reachable by links."""
+    """doc_id, tk (key of the text), fp (signed), component_id: the smallest doc_id reachable by links, root: a fingerprint that stands for the component, never null."""
     kind = dict(docs.dtypes)["doc_id"]
     slim = docs.select("doc_id", text_key(F.col("text")).alias("tk"), "text")
     rows = Saved(slim.mapInPandas(_Fingerprint(size), f"doc_id {kind}, tk string, fp long"))
@@ -93,12 +93,12 @@ def classes(docs: DataFrame, differ: int = 3, blocks: int = 5, pivots: int = 16,
     distinct = in_blocks(own.df.select(F.col("fp").alias("id")), blocks, differ)
     roots = components(bucket_links(distinct, PivotFilter(differ, pivots), block_bucket("id", blocks, differ)))
     if roots is None:
-        label = own.df.select("fp", F.col("first").alias("component_id"))
+        label = own.df.select("fp", F.col("first").alias("component_id"), F.col("fp").alias("root"))
     else:
         linked = roots.df.join(own.df, F.col("node") == F.col("fp"))
         least = linked.groupBy("root").agg(F.min("first").alias("least"))
-        least = linked.join(least, "root").select("fp", "least")
-        label = own.df.join(least, "fp", "left").select("fp", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"))
+        least = linked.join(least, "root").select("fp", "least", "root")
+        label = own.df.join(least, "fp", "left").select("fp", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
     # written first, so that a fingerprint with very many documents is a join key that adaptive execution can split
     return rows.df.join(Saved(label).df, "fp")
 
@@ -106,7 +106,7 @@ def classes(docs: DataFrame, differ: int = 3, blocks: int = 5, pivots: int = 16,
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, then of the smallest text key."""
     found = classes(docs, **options)
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tk")).alias("best")).select("best.*")
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "tk")).alias("best")).select("best.*")
     named = docs.withColumn("tk_", text_key(F.col("text")))
     best = best.select(F.col("doc_id").alias("best_id"), F.col("tk").alias("best_tk"))
     kept = named.join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("tk_") == F.col("best_tk")), "left_semi")

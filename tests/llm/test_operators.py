@@ -449,3 +449,10 @@ def test_pivots_lose_nothing():
     x, y = (a.ravel() for a in np.meshgrid(np.arange(600), np.arange(600)))
     got = simhash_dedup.PivotFilter(3)(pd.DataFrame({"id": ids}))(x, y)
     assert (got == (np.bitwise_count((ids[x] ^ ids[y]).view(np.uint64)) <= 3)).all()
+
+
+def test_simhash_dedup_keeps_different_texts_without_ids(spark):
+    texts = [prose(500 + i, 60) for i in range(4)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(None, texts[0]), (3, texts[1])], "doc_id long, text string")
+    got = simhash_dedup.dedup(df).collect()
+    assert sorted(r["text"] for r in got) == sorted(texts)

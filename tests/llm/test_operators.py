@@ -456,3 +456,26 @@ def test_simhash_dedup_keeps_different_texts_without_ids(spark):
     df = spark.createDataFrame([(None, t) for t in texts] + [(None, texts[0]), (3, texts[1])], "doc_id long, text string")
     got = simhash_dedup.dedup(df).collect()
     assert sorted(r["text"] for r in got) == sorted(texts)
+
+
+def test_pipeline_finds_planted_near_copies(spark):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    texts = []
+    for n in (40, 100, 200, 500):
+        for changed in (1, n // 50, n // 20):
+            words = [f"w{r.randrange(9999)}" for _ in range(n)]
+            copy = list(words)
+            for i in r.sample(range(n), changed):
+                copy[i] = "other"
+            texts += [" ".join(words), " ".join(copy)]
+    texts += [None, "", " ", "one two"]
+    sets = [set(simhash_dedup.shingle_hashes(t, 5)) for t in texts]
+    linked = {i: {j for j, b in enumerate(sets) if (not a and not b) or len(a & b) >= 0.8 * max(1, len(a | b))} for i, a in enumerate(sets)}
+    want = {i for i, least in reach(range(len(texts)), linked).items() if i == least}
+    assert len(want) < len(texts) - 6
+    df = spark.createDataFrame([*enumerate(texts), (None, "no id a"), (None, "no id b")], "doc_id long, text string")
+    kept = corpus_pipeline.simhash_dedup(spark, df, "").collect()
+    assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == sorted(want)
+    assert sorted(x["text"] for x in kept if x["doc_id"] is None) == ["no id a", "no id b"]

@@ -7,7 +7,8 @@ of landmark tokens; since the kernel is a sum over triples, its decision for a t
 A document's decision is that of its most toxic token; a logistic curve turns it into a score of 0 to 1.
 
 Fit: on at most `max_per_class` labelled documents a class (the lowest hashes of doc_id; a documented bound).
-Token counts of these are made by Spark; the driver sees `landmarks` and at most a few thousand tokens.
+Token counts of these are made by Spark, and held against the classes' shares within each language (column lang, where docs has
+one); every token that passes the test is a positive, longer ones by their pieces. The driver sees these, `landmarks`, and a few thousand others.
 
 Edge cases: null and empty texts have no token and get the score of the lowest decision; a token with under three
 letters has no triple; very long tokens are read in overlapping pieces, whole; repeated rows each get their row;
@@ -216,6 +217,12 @@ def fit_curve(decision: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tu
     return max(float(b[0]), 1e-3), float(b[1])
 
 
+def _in_pieces(word: Column) -> Column:
+    """The word, or overlapping pieces of a very long one."""
+    at = F.sequence(F.lit(0), F.greatest(F.length(word), F.lit(PIECE)) - PIECE + STRIDE - 1, F.lit(STRIDE))
+    return F.when(F.length(word) <= PIECE, F.array(word)).otherwise(F.transform(at, lambda i: F.substring(word, i + 1, F.lit(PIECE))))
+
+
 def train(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, max_per_class: int = 6000, landmarks: int = 64, rounds: int = 3) -> ToxicityModel:
     """Fits the model to labels.toxic on `docs` (doc_id, text). trainable: which doc_ids may be learnt from."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -226,27 +233,32 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, m
         return ToxicityModel(np.zeros(LETTERS**3), 0.0, constant=float(1 in counts))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = [marked.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(max_per_class) for k in (0, 1)]
-    sample = Saved(docs.select("doc_id", "text").join(chosen[0].union(chosen[1]), "doc_id").select("text", "toxic"))
-    n = [min(max_per_class, counts[k]) for k in (0, 1)]
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    sample = Saved(docs.select("doc_id", "text", lang.alias("lang")).join(chosen[0].union(chosen[1]), "doc_id").select("text", "toxic", "lang"))
 
-    token = F.regexp_replace("token", r"(?U)[^\p{L}]", "")
+    bare = F.filter(F.transform(words_of(F.lower("text"), BLANKS), lambda w: F.regexp_replace(w, r"(?U)[^\p{L}]", "")), lambda w: F.length(w) >= 3)
     tokens = (
-        sample.df.select("toxic", F.explode(F.array_distinct(words_of(F.lower("text"), BLANKS))).alias("token"))
-        .select("toxic", token.alias("token")).where(F.length("token").between(3, PIECE))
-        .groupBy("token").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+        sample.df.select("toxic", "lang", F.explode(F.array_distinct(F.flatten(F.transform(bare, _in_pieces)))).alias("token"))
+        .groupBy("token", "lang").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     )
-    # log-likelihood ratio of a token's documents by class against the classes' shares, for tokens far commoner in toxic ones
-    expect_t, expect_c = (t_c * n[k] / (n[0] + n[1]) for k, t_c in ((1, F.col("t") + F.col("c")), (0, F.col("t") + F.col("c"))))
-    ratio = F.col("t") * F.log(F.greatest(F.col("t"), F.lit(0.5)) / expect_t) + F.col("c") * F.log(F.greatest(F.col("c"), F.lit(0.5)) / expect_c)
-    tokens = Saved(tokens.withColumn("lift", (F.col("t") / n[1]) / ((F.col("c") + 0.5) / n[0])).withColumn("ratio", ratio))
+    # a token's documents by class are held against the classes' shares in their own languages, so that a language's share isn't taken for toxicity
+    share = sample.df.groupBy(F.col("lang").alias("of")).agg(F.avg("toxic").alias("share"))
+    tokens = tokens.join(F.broadcast(share), F.col("lang").eqNullSafe(F.col("of")))
+    expect = [F.sum((F.col("t") + F.col("c")) * s) for s in (1 - F.col("share"), F.col("share"))]
+    tokens = tokens.groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), expect[0].alias("expect_c"), expect[1].alias("expect_t"))
+    # log-likelihood ratio, for tokens far commoner in toxic documents
+    ratio = F.col("t") * F.log(F.greatest(F.col("t"), F.lit(0.5)) / F.greatest("expect_t", F.lit(1e-9))) + F.col("c") * F.log(F.greatest(F.col("c"), F.lit(0.5)) / F.greatest("expect_c", F.lit(1e-9)))
+    lift = (F.col("t") / F.greatest("expect_t", F.lit(1e-9))) / ((F.col("c") + 0.5) / F.greatest("expect_c", F.lit(1e-9)))
+    tokens = Saved(tokens.withColumn("lift", lift).withColumn("ratio", ratio))
     many = np.log(max(2, tokens.df.count()))
-    top = [(r["token"], r["ratio"]) for r in tokens.df.where("lift >= 8").orderBy(F.desc("ratio"), "token").limit(landmarks // 2).collect()]
+    likely = tokens.df.where("lift >= 8").orderBy(F.desc("ratio"), "token").select("token", "ratio")
+    passed = [r["token"] for r in likely.where(F.col("ratio") > float(many + 3)).collect()]
     common = [r["token"] for r in tokens.df.orderBy(F.desc("c"), "token").limit(landmarks // 2).collect()]
     rare = [r["token"] for r in tokens.df.where("t = 0").orderBy(F.xxhash64("token")).limit(2000).collect()]
     # tokens well above what chance gives among this many tokens are taken for insults
-    positive = [t for t, x in top if x > many + 3] or [t for t, _ in top[:1]] or common[:1]
+    positive = passed or [r["token"] for r in likely.limit(1).collect()] or common[:1]
     negative = [t for t in dict.fromkeys([*common, *rare]) if t not in positive]
-    marks = list(dict.fromkeys([*positive, *common, *rare[: landmarks // 2]]))
+    marks = list(dict.fromkeys([*positive[: landmarks // 2], *common, *rare[: landmarks // 2]]))
     model = ToxicityModel(*fit_tokens(positive, negative, marks))
     for _ in range(rounds - 1):  # clean documents' most toxic-looking tokens become examples
         hard = tokens.df.where("c > 0 and t <= 2 * c").mapInPandas(_TokenDecisions(model), "token string, d double")

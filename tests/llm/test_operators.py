@@ -479,3 +479,33 @@ def test_pipeline_finds_planted_near_copies(spark):
     kept = corpus_pipeline.simhash_dedup(spark, df, "").collect()
     assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == sorted(want)
     assert sorted(x["text"] for x in kept if x["doc_id"] is None) == ["no id a", "no id b"]
+
+
+def test_toxicity_learns_every_insult(spark):
+    r = random.Random(12)
+    word = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    plain = [word("abcdefgh", r.randrange(3, 8)) for _ in range(200)]
+    insults = [word("qrstuvwxyz", 8) for _ in range(39)] + [word("qrstuvwxyz", 20)]
+    rows = []
+    for i in range(2400):
+        words = r.choices(plain, k=12)
+        rows.append((i, " ".join([*words, insults[i // 2 % 40]] if i % 2 else words), "en", i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.train(df, df)
+    scores = model.chance(model.score(insults))
+    assert {t: round(float(s), 2) for t, s in zip(insults, scores, strict=True) if s < 0.5} == {}
+    assert (model.chance(model.score(plain)) < 0.3).all()
+
+
+def test_toxicity_does_not_take_a_language_for_an_insult(spark):
+    r = random.Random(13)
+    word = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    plain = {"en": [word("abcdefgh", 6) for _ in range(30)], "de": [word("ijklmnop", 6) for _ in range(30)]}
+    insults = [word("qrstuvwxyz", 8) for _ in range(3)]
+    rows = []
+    for i in range(1600):
+        lang, toxic = ("de", int(i % 40 < 36)) if i % 2 else ("en", int(i % 40 < 2))
+        rows.append((i, " ".join([*r.choices(plain[lang], k=12), *([r.choice(insults)] if toxic else [])]), lang, toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.train(df, df)
+    assert model.score(plain["de"]).max() < model.score(insults).min() - 0.5

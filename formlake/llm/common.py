@@ -22,12 +22,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the setting is unset."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where the setting is unset and Spark runs in one process."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
         root = sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="formlake-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -65,6 +67,12 @@ def _clean() -> None:
             return
 
 
+def shielded(df: DataFrame, *plain: str) -> tuple[DataFrame, list[Column]]:
+    """df with all columns but `plain` renamed by place, so that no column of an operator's own clashes, and the columns that undo it."""
+    own = {c: c if c in plain else f"given {i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*own.values()), [F.col(f"`{a}`").alias(c) for c, a in own.items()]
+
+
 def folded(text: Column) -> Column:
     """A-Z in lower case; all other letters unchanged."""
     return F.translate(text, UPPER, LOWER)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlake.llm.common import Saved, band_keys, block_bucket, bucket_links, components, in_blocks, majority, mixed, shared_keys, text_key
+from formlake.llm.common import Saved, band_keys, block_bucket, bucket_links, components, in_blocks, majority, mixed, shared_keys, shielded, text_key
 
 
 def shingle_hashes(text: str | None, size: int = 3) -> list[int]:
@@ -111,10 +111,15 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, then of the smallest text key."""
     found = classes(docs, **options)
     best = found.groupBy("root").agg(F.min(F.struct("doc_id", "tk")).alias("best")).select("best.*")
-    named = docs.withColumn("tk_", text_key(F.col("text")))
-    best = best.select(F.col("doc_id").alias("best_id"), F.col("tk").alias("best_tk"))
-    kept = named.join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("tk_") == F.col("best_tk")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "tk_"]).drop("tk_")
+    return _rows_of(docs, best.select(F.col("doc_id").alias("best_id"), F.col("tk").alias("best_tk")))
+
+
+def _rows_of(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """One row of docs, with its columns, for each (best_id, best_tk)."""
+    named, back = shielded(docs, "doc_id", "text")
+    named = named.withColumn("tk", text_key(F.col("text")))
+    kept = named.join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("tk") == F.col("best_tk")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "tk"]).select(*back)
 
 
 class _Copies:
@@ -179,9 +184,7 @@ def dedup_copies(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int
     best = Saved(best.select(F.col("first.doc_id").alias("best_id"), F.col("first.tk").alias("best_tk")))
     for table in (own, met, texts):
         table.drop()
-    named = docs.withColumn("tk_", text_key(F.col("text")))
-    kept = named.join(best.df, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("tk_") == F.col("best_tk")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "tk_"]).drop("tk_")
+    return _rows_of(docs, best.df)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

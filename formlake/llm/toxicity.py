@@ -1,4 +1,4 @@
-"""Toxicity by a subsequence string kernel: a support vector machine over Nyström landmarks.
+"""Toxicity by a subsequence string kernel: a support vector machine over Nyström landmarks, trained on labelled sentences.
 
 The kernel compares two tokens by their common letter triples in order, gaps allowed; each triple weighs
 DECAY ** span, and values are normalised to 1 for a token with itself. Marks that aren't letters take up room
@@ -6,9 +6,12 @@ in a gap but make no triple, so "i-d-i-o-t" and "idxiot" stay near "idiot". The
 of landmark tokens; since the kernel is a sum over triples, its decision for a token is one look-up per triple.
 A document's decision is that of its most toxic token; a logistic curve turns it into a score of 0 to 1.
 
-Fit: on at most `max_per_class` labelled documents a class (the lowest hashes of doc_id; a documented bound).
-Token counts of these are made by Spark, and held against the classes' shares within each language (column lang, where docs has
-one); every token that passes the test is a positive, longer ones by their pieces. The driver sees these, `landmarks`, and a few thousand others.
+Fit: labels belong to documents, each a bag of its sentences' tokens, so the machine learns from bags: a toxic bag's witness (its token of
+the highest decision) should lie above the margin, a clean bag's highest token below it. Rounds alternate between fitting and
+choosing witnesses; the first witnesses are each bag's least likely token for a clean one of its language (column lang, where docs has
+one). Clean bags' highest tokens of all rounds stay as examples. Landmarks are drawn from the bags: witnesses, highest clean tokens, and others.
+Bags are at most `max_per_class` labelled documents a class (the lowest hashes of doc_id; a documented bound); no token,
+frequency or length is left out of them. The driver sees a token a bag and round.
 
 Edge cases: null and empty texts have no token and get the score of the lowest decision; a token with under three
 letters has no triple; very long tokens are read in overlapping pieces, whole; repeated rows each get their row;
@@ -19,7 +22,7 @@ further columns of the input don't matter. Documents with null doc_id are scored
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -28,30 +31,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formlake.llm.common import BLANKS, Saved, folded, words_of
+from formlake.llm.common import Saved
 
 DECAY = 0.8
 #: Letters of one piece of a very long token, and how far the next piece starts behind.
 PIECE, STRIDE = 16, 8
-LETTERS = 27
+#: a to z, 7 codes that all other letters share, and the token's end, which tells a word from a longer one that begins alike.
+LETTERS, END = 34, 33
 #: Single letters apart, as in "i d i o t", also make a token.
 APART = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
-MARKS = ".,;:!?|\"'()[]"
-_fold = {"á": "a", "à": "a", "â": "a", "ä": "a", "é": "e", "è": "e", "ê": "e", "ë": "e", "í": "i", "î": "i", "ï": "i", "ó": "o", "ô": "o", "ö": "o", "ú": "u", "ù": "u", "û": "u", "ü": "u", "ñ": "n", "ç": "c"}
+MARKS = ".,;:!?|\"'()[]#$%&*"
 
 
 def letters(token: str) -> tuple[list[int], list[int]]:
-    """Codes of the letters (a-z 0..25, other letters 26) and where they stand."""
+    """Codes of the letters and of the end, and where they stand."""
     codes, places = [], []
     for i, c in enumerate(token):
-        c = _fold.get(c, c)
         if "a" <= c <= "z":
             codes.append(ord(c) - 97)
             places.append(i)
         elif c.isalpha():
-            codes.append(26)
+            codes.append(26 + ord(c) % 7)
             places.append(i)
-    return codes, places
+    return [*codes, END], [*places, len(token)]
 
 
 _triples: dict[int, np.ndarray] = {}
@@ -64,10 +66,12 @@ def triples(n: int) -> np.ndarray:
 
 
 def pieces(token: str) -> list[tuple[list[int], list[int]]]:
-    codes, places = letters(token)
-    if len(codes) <= PIECE:
+    codes, places = letters(token.strip(MARKS))
+    n = len(codes) - 1
+    if n <= PIECE:
         return [(codes, places)]
-    return [(codes[i : i + PIECE], places[i : i + PIECE]) for i in range(0, len(codes) - PIECE + STRIDE, STRIDE)]
+    ends = [(i, i + PIECE if i + PIECE < n else n + 1) for i in range(0, n - PIECE + STRIDE, STRIDE)]
+    return [(codes[i:j], places[i:j]) for i, j in ends]
 
 
 def weights_of(rows: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +97,40 @@ def self_kernel(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def vector(token: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes and normalised weights of the triples of the token's first piece; none for under three letters."""
     part = pieces(token)[0]
-    if len(part[0]) < 3:
+    if len(part[0]) < 4:
         return np.zeros(0, dtype=np.int64), np.zeros(0)
     code, weight = weights_of([part])
     return code[0], weight[0] / np.sqrt(self_kernel(code, weight)[0])
 
 
+def tokens_of(text: str | None) -> set[str]:
+    """Words in small letters, and words whose letters stand apart put together."""
+    if not text:
+        return set()
+    low = text.lower()
+    return set(low.split()).union(m.replace(" ", "").replace("\t", "") for m in APART.findall(low))
+
+
+def bag_of(text: str | None) -> list[str]:
+    """The tokens with a triple, without marks around them; very long ones in the pieces that decide about them."""
+    out = set()
+    for token in tokens_of(text):
+        bare = token.strip(MARKS)
+        if len(bare) <= PIECE:
+            out.add(bare)
+        else:
+            out.update("".join(x) for x in _cut(bare))
+    return sorted(t for t in out if sum(map(str.isalpha, t)) >= 3)
+
+
+def _cut(token: str) -> list[str]:
+    """The token's letters in pieces as `pieces` has them, with the marks among them."""
+    places = letters(token)[1][:-1]
+    if len(places) <= PIECE:
+        return [token]
+    return [token[places[i] : places[min(i + PIECE, len(places)) - 1] + 1] for i in range(0, len(places) - PIECE + STRIDE, STRIDE)]
+
+
 @dataclass
 class ToxicityModel:
     """table: for each triple its part in the decision. A token decides table . triples / norm + bias."""
@@ -109,13 +141,15 @@ class ToxicityModel:
     shift: float = 0.0
     constant: float | None = None
     known: dict[str, float] = field(default_factory=dict)
-    room: int = 300_000
+    room: int = 200_000
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
     def decide(self, tokens: list[str]) -> None:
         """Adds the decisions for new tokens to `known`."""
+        if not tokens:
+            return
         by_length: dict[int, list[tuple[int, tuple]]] = {}
         plain: dict[int, list[tuple[int, str]]] = {}
         best = np.full(len(tokens), self.bias)
@@ -126,48 +160,45 @@ class ToxicityModel:
                     plain.setdefault(len(bare), []).append((k, bare))
                 continue
             for part in pieces(token):
-                if len(part[0]) >= 3:
+                if len(part[0]) >= 4:
                     by_length.setdefault(len(part[0]), []).append((k, part))
         for n, own in plain.items():
-            t = triples(n)
+            t = triples(n + 1)
             span = DECAY ** (t[:, 2] - t[:, 0] + 1)
-            for i in range(0, len(own), 4096):
-                some = own[i : i + 4096]
+            for i in range(0, len(own), 1024):
+                some = own[i : i + 1024]
                 c = np.frombuffer("".join(x[1] for x in some).encode(), dtype=np.uint8).reshape(-1, n).astype(np.int64) - 97
+                c = np.c_[c, np.full(len(c), END)]
                 code = (c[:, t[:, 0]] * LETTERS + c[:, t[:, 1]]) * LETTERS + c[:, t[:, 2]]
                 best[[x[0] for x in some]] = self.table[code] @ span / np.sqrt(self_kernel(code, np.broadcast_to(span, code.shape))) + self.bias
         for own in by_length.values():
-            for i in range(0, len(own), 4096):
-                some = own[i : i + 4096]
+            for i in range(0, len(own), 1024):
+                some = own[i : i + 1024]
                 code, weight = weights_of([x[1] for x in some])
                 value = (self.table[code] * weight).sum(axis=1) / np.sqrt(self_kernel(code, weight)) + self.bias
                 np.maximum.at(best, [x[0] for x in some], value)
-        if len(self.known) + len(tokens) > self.room:
-            self.known.clear()
         self.known.update(zip(tokens, best.tolist(), strict=True))
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """The decision of each text's most toxic token; the bias if it has none."""
-        split = [t.lower().split() + [m.replace(" ", "").replace("\t", "") for m in APART.findall(t.lower())] if t else [] for t in texts]
-        out, known = np.full(len(texts), self.bias), self.known
-        at = 0
-        while at < len(split):
-            end, fresh, size = at, set(), 0
-            while end < len(split) and size < 100_000:
-                own = set(split[end])
-                fresh |= own.difference(known)
-                size += len(split[end])
-                end += 1
-            if fresh:
-                before = len(known)
-                self.decide(list(fresh))
-                if len(known) < before:  # made room: the tokens known before are gone
-                    self.decide(list(set().union(*map(set, split[at:end])) - set(self.known)))
-                    known = self.known
-            for k in range(at, end):
-                if split[k]:
-                    out[k] = max(map(known.__getitem__, split[k]))
-            at = end
+    def highest(self, bags: Sequence[set[str]]) -> tuple[np.ndarray, list[str | None]]:
+        """Each bag's highest decision and its token; the bias and None for a bag without tokens."""
+        known = self.known
+        fresh = set().union(*bags).difference(known)
+        if len(known) + len(fresh) > self.room:
+            known.clear()
+            fresh = set().union(*bags)
+        self.decide(list(fresh))
+        who = [max(own, key=known.__getitem__) if own else None for own in bags]
+        return np.array([self.bias if w is None else known[w] for w in who]), who
+
+    def score(self, texts: Sequence[str | None], letters_at_once: int = 1_000_000) -> np.ndarray:
+        """The decision of each text's most toxic token. So many texts at a time are cut into tokens that memory stays small."""
+        out, bags, first, size = np.full(len(texts), self.bias), [], 0, 0
+        for k, t in enumerate(texts):
+            bags.append(tokens_of(t))
+            size += len(t) if t else 0
+            if size > letters_at_once or k == len(texts) - 1:
+                out[first : k + 1] = self.highest(bags)[0]
+                bags, first, size = [], k + 1, 0
         return out
 
     def chance(self, decision: np.ndarray) -> np.ndarray:
@@ -176,30 +207,39 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -40, 40)))
 
 
-def fit_tokens(positive: list[str], negative: list[str], landmarks: list[str], cost: float = 10.0, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Squared-hinge support vector machine in the Nyström space of the landmarks: triple table and bias."""
-    marks = np.zeros((len(landmarks), LETTERS**3))
+def fit_tokens(positive: dict[str, float], negative: dict[str, float], landmarks: list[str], cost: float = 30000.0, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Squared-hinge support vector machine in the Nyström space of the landmarks, examples weighted, both classes alike: triple table and bias."""
+    marks = np.zeros((len(landmarks), LETTERS**3), dtype=np.float32)
     for row, (code, weight) in zip(marks, map(vector, landmarks), strict=True):
         np.add.at(row, code, weight)
     marks = marks[marks.any(axis=1)]
-    values, basis = np.linalg.eigh(marks @ marks.T)
-    good = values > 1e-6 * values.max()
-    project = (basis[:, good] / np.sqrt(values[good])).T @ marks  # rows: Nyström features as functions of triples
-    by_triple = np.ascontiguousarray(project.T)
-    x = np.array([weight @ by_triple[code] for code, weight in map(vector, [*positive, *negative])])
+    values, basis = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    good = values > 1e-5 * values.max()
+    by_triple = np.ascontiguousarray(marks.T @ (basis[:, good] / np.sqrt(values[good])).astype(np.float32))  # Nyström features as functions of triples
+    del marks
+    x = np.array([weight.astype(np.float32) @ by_triple[code] for code, weight in map(vector, [*positive, *negative])], dtype=np.float64)
     x = np.hstack([x, np.ones((len(x), 1))])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    c = np.where(y > 0, cost / max(1, len(positive)), cost / max(1, len(negative))) * 100
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
+    c = np.r_[np.array([*positive.values()]) / sum(positive.values()), np.array([*negative.values()]) / sum(negative.values())] * cost
+    w, ridge, inside = np.zeros(x.shape[1]), np.eye(x.shape[1]), np.ones(len(x), dtype=bool)
     ridge[-1, -1] = 1e-6
     for _ in range(steps):  # Newton: a ridge regression on the points inside the margin
-        inside = y * (x @ w) < 1
         xs = x[inside] * c[inside, None]
         new = np.linalg.solve(ridge + xs.T @ x[inside], xs.T @ y[inside])
-        if np.allclose(new, w, atol=1e-8):
+        w, before = _descend(w, new, x, y, c), w
+        inside = y * (x @ w) < 1
+        if np.abs(w - before).max() < 1e-7:
             break
-        w = new
-    return project.T @ w[:-1], float(w[-1])
+    return (by_triple @ w[:-1].astype(np.float32)).astype(np.float64), float(w[-1])
+
+
+def _descend(w: np.ndarray, new: np.ndarray, x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The best of some points from w to new and a little beyond it being halved, by the machine's loss."""
+
+    def loss(v: np.ndarray) -> float:
+        return 0.5 * float(v[:-1] @ v[:-1] + 1e-6 * v[-1] ** 2 + (c * np.maximum(0, 1 - y * (x @ v)) ** 2).sum())
+
+    return min((w + t * (new - w) for t in (1.0, 0.5, 0.25, 0.1, 0.03)), key=loss)
 
 
 def fit_curve(decision: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -217,13 +257,47 @@ def fit_curve(decision: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tu
     return max(float(b[0]), 1e-3), float(b[1])
 
 
-def _in_pieces(word: Column) -> Column:
-    """The word, or overlapping pieces of a very long one."""
-    at = F.sequence(F.lit(0), F.greatest(F.length(word), F.lit(PIECE)) - PIECE + STRIDE - 1, F.lit(STRIDE))
-    return F.when(F.length(word) <= PIECE, F.array(word)).otherwise(F.transform(at, lambda i: F.substring(word, i + 1, F.lit(PIECE))))
+class _Bags:
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                yield pd.DataFrame({"bag": part["bag"], "toxic": part["toxic"], "lang": part["lang"], "tokens": [bag_of(t) for t in part["text"]]})
+
+
+class _Highest:
+    def __init__(self, model: ToxicityModel):
+        self.model = model
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                decision, who = self.model.highest([set(x) for x in part["tokens"]])
+                yield pd.DataFrame({"toxic": part["toxic"], "token": who, "decision": decision})
+
+
+def _unlikely(bags: DataFrame) -> DataFrame:
+    """Each bag's token that is least like a clean one: (toxic, token, decision).
+
+    A token's bags by class are held against the classes' shares in their languages, so that a language's share isn't taken for toxicity."""
+    share = bags.groupBy(F.col("lang").alias("of")).agg(F.avg("toxic").alias("share"))
+    one = bags.select("bag", "toxic", "lang", F.explode("tokens").alias("token"))
+    counts = one.groupBy("token", "lang").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    counts = counts.join(F.broadcast(share), F.col("lang").eqNullSafe(F.col("of")))  # a row a language
+    counts = counts.groupBy("token").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("share")).alias("expect"))
+    clean, expect_clean = F.col("n") - F.col("t"), F.col("n") - F.col("expect")
+    lift = F.log((F.col("t") + 0.5) / (F.col("expect") + 0.5)) - F.log((clean + 0.5) / (expect_clean + 0.5))
+    rated = one.select("bag", "toxic", "token").join(counts.select("token", lift.alias("lift")), "token")
+    top = F.max(F.struct("lift", "token")).alias("top")
+    return rated.groupBy("bag", "toxic").agg(top).select("toxic", F.col("top.token").alias("token"), F.col("top.lift").alias("decision"))
 
 
-def train(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, max_per_class: int = 6000, landmarks: int = 64, rounds: int = 3) -> ToxicityModel:
+def _times(tokens: pd.Series) -> dict[str, float]:
+    return {t: float(n) for t, n in sorted(tokens.dropna().value_counts().items(), key=lambda x: (-x[1], x[0]))}
+
+
+def train(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, max_per_class: int = 6000, landmarks: int = 384, rounds: int = 4) -> ToxicityModel:
     """Fits the model to labels.toxic on `docs` (doc_id, text). trainable: which doc_ids may be learnt from."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     if trainable is not None:
@@ -234,69 +308,48 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, m
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = [marked.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(max_per_class) for k in (0, 1)]
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    sample = Saved(docs.select("doc_id", "text", lang.alias("lang")).join(chosen[0].union(chosen[1]), "doc_id").select("text", "toxic", "lang"))
-
-    bare = F.filter(F.transform(words_of(F.lower("text"), BLANKS), lambda w: F.regexp_replace(w, r"(?U)[^\p{L}]", "")), lambda w: F.length(w) >= 3)
-    tokens = (
-        sample.df.select("toxic", "lang", F.explode(F.array_distinct(F.flatten(F.transform(bare, _in_pieces)))).alias("token"))
-        .groupBy("token", "lang").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    )
-    # a token's documents by class are held against the classes' shares in their own languages, so that a language's share isn't taken for toxicity
-    share = sample.df.groupBy(F.col("lang").alias("of")).agg(F.avg("toxic").alias("share"))
-    tokens = tokens.join(F.broadcast(share), F.col("lang").eqNullSafe(F.col("of")))
-    expect = [F.sum((F.col("t") + F.col("c")) * s) for s in (1 - F.col("share"), F.col("share"))]
-    tokens = tokens.groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), expect[0].alias("expect_c"), expect[1].alias("expect_t"))
-    # log-likelihood ratio, for tokens far commoner in toxic documents
-    ratio = F.col("t") * F.log(F.greatest(F.col("t"), F.lit(0.5)) / F.greatest("expect_t", F.lit(1e-9))) + F.col("c") * F.log(F.greatest(F.col("c"), F.lit(0.5)) / F.greatest("expect_c", F.lit(1e-9)))
-    lift = (F.col("t") / F.greatest("expect_t", F.lit(1e-9))) / ((F.col("c") + 0.5) / F.greatest("expect_c", F.lit(1e-9)))
-    tokens = Saved(tokens.withColumn("lift", lift).withColumn("ratio", ratio))
-    many = np.log(max(2, tokens.df.count()))
-    likely = tokens.df.where("lift >= 8").orderBy(F.desc("ratio"), "token").select("token", "ratio")
-    passed = [r["token"] for r in likely.where(F.col("ratio") > float(many + 3)).collect()]
-    common = [r["token"] for r in tokens.df.orderBy(F.desc("c"), "token").limit(landmarks // 2).collect()]
-    rare = [r["token"] for r in tokens.df.where("t = 0").orderBy(F.xxhash64("token")).limit(2000).collect()]
-    # tokens well above what chance gives among this many tokens are taken for insults
-    positive = passed or [r["token"] for r in likely.limit(1).collect()] or common[:1]
-    negative = [t for t in dict.fromkeys([*common, *rare]) if t not in positive]
-    marks = list(dict.fromkeys([*positive[: landmarks // 2], *common, *rare[: landmarks // 2]]))
-    model = ToxicityModel(*fit_tokens(positive, negative, marks))
-    for _ in range(rounds - 1):  # clean documents' most toxic-looking tokens become examples
-        hard = tokens.df.where("c > 0 and t <= 2 * c").mapInPandas(_TokenDecisions(model), "token string, d double")
-        found = [r["token"] for r in hard.orderBy(F.desc("d"), "token").limit(400).collect()]
-        fresh = [t for t in found if t not in positive and t not in negative]
-        if not fresh:
+    sample = docs.select("doc_id", "text", lang.cast("string").alias("lang")).join(chosen[0].union(chosen[1]), "doc_id")
+    sample = sample.select(F.monotonically_increasing_id().alias("bag"), "text", "toxic", "lang")
+    bags = Saved(sample.mapInPandas(_Bags(), "bag long, toxic int, lang string, tokens array<string>"))
+
+    found = _unlikely(bags.df).toPandas()  # a row a bag
+    others = bags.df.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    common = [r["token"] for r in others.orderBy(F.desc("n"), "token").limit(landmarks).collect()]
+    some = [r["token"] for r in others.orderBy(F.xxhash64("token"), "token").limit(landmarks).collect()]
+    negative, model = {}, None
+    for _ in range(rounds):
+        positive = _times(found.loc[found["toxic"] == 1, "token"])
+        for t, n in _times(found.loc[found["toxic"] == 0, "token"]).items():
+            negative[t] = max(n, negative.get(t, 0.0))
+        if not positive or not negative:
+            break
+        firm = {t: n for t, n in positive.items() if t not in negative or n > negative[t]} or positive
+        parts = ((firm, landmarks // 2), (negative, landmarks // 4), (common, landmarks // 8), (some, landmarks // 8))
+        marks = list(dict.fromkeys(t for tokens, n in parts for t in list(tokens)[:n]))
+        examples = {t: 1.0 for t in (*common, *some) if t not in positive} | negative
+        model = ToxicityModel(*fit_tokens(positive, examples, marks))
+        before = set(positive)
+        found = bags.df.mapInPandas(_Highest(model), "toxic int, token string, decision double").toPandas()  # a row a bag
+        if set(found.loc[found["toxic"] == 1, "token"].dropna()) == before:
             break
-        negative += fresh
-        model = ToxicityModel(*fit_tokens(positive, negative, marks))
-    decided = score(sample.df.withColumn("doc_id", F.lit(0)), model, extra=["toxic"]).select("decision", "toxic").toPandas()
-    sample.drop()
-    tokens.drop()
-    y = decided["toxic"].to_numpy(float)
+    bags.drop()
+    if model is None:
+        return ToxicityModel(np.zeros(LETTERS**3), 0.0, constant=counts[1] / (counts[0] + counts[1]))
+    y = found["toxic"].to_numpy(float)
     weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
     weight *= len(y) / max(1.0, weight.sum())
-    model.slope, model.shift = fit_curve(decided["decision"].to_numpy(), y, weight)
+    model.slope, model.shift = fit_curve(found["decision"].to_numpy(), y, weight)
     model.known.clear()
     return model
 
 
-class _TokenDecisions:
-    def __init__(self, model: ToxicityModel):
-        self.model = model
-
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            self.model.known.clear()
-            self.model.decide(own := b["token"].tolist())
-            yield pd.DataFrame({"token": own, "d": [self.model.known[t] for t in own]})
-
-
 class _Scorer:
     def __init__(self, model: ToxicityModel, extra: list[str]):
         self.model, self.extra = model, extra
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = self.model.score(b["text"].tolist())
+            d = self.model.score(b["text"])
             yield pd.DataFrame({c: b[c] for c in self.extra} | {"decision": d, "score": self.model.chance(d)})
 
 
@@ -319,19 +372,15 @@ def detect(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, extra: li
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-class _Keep:
-    def __init__(self, model: ToxicityModel, threshold: float):
-        self.model, self.threshold = model, threshold
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores under the threshold. Only texts go to Python."""
 
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def chance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            chance = self.model.chance(self.model.score(b["text"].tolist()))
-            yield b[chance < self.threshold]
+            yield pd.Series(model.chance(model.score(b)))
 
-
-def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores under the threshold."""
-    return docs.mapInPandas(_Keep(model, threshold), docs.schema)
+    return docs.where(chance(F.col("text")) < threshold)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

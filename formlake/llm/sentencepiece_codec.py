@@ -3,10 +3,13 @@
 A text gets the model's dummy leading blank, blanks become the mark U+2581, and it falls into units: a run of marks with what follows up
 to the next mark. No piece of a merge-type vocabulary has a mark after another character (checked when the model is read),
 so units are encoded by themselves. Each unit has an agenda of candidate merges, best rank first and leftmost among equals;
-a popped candidate is skipped when the keyed hash of (seed, variant, unit, place, piece) falls under the dropout share.
-A unit's variant turns with its place in the document, from an offset given by the document, so a word is cut in up to
-`variants` ways; without dropout the pieces are those of the SentencePiece library. Characters outside the vocabulary
-become byte pieces, and so does a U+2581 of the text itself: decoding gives back every text exactly.
+a popped candidate is skipped when the keyed hash of (seed, document, number of the unit in it, place, piece) falls under the
+dropout share, so every occurrence of a word is cut by its own draws. Without dropout the pieces are those of the SentencePiece
+library. Characters outside the vocabulary become byte pieces, and so does a U+2581 of the text itself: decoding gives back every text
+exactly.
+
+Each distinct unit goes once through its agenda without dropout, and its merges are kept. An occurrence whose draws skip none of
+these merges has the same pieces; all others go through their agendas again, with their draws, many units side by side.
 
 Edge cases: null has no pieces and decodes to null; an empty text has no pieces; very long words go through the same agenda
 (n log n); repeated rows get equal pieces; an empty table gives an empty result; further columns are kept by `encode` and
@@ -21,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,6 +39,8 @@ UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Stands for a U+2581 that the text itself holds, while the text is cut into units: a code point no text in UTF-8 can have.
 OWN_MARK = "\ud800"
 MASK = (1 << 64) - 1
+#: Odd multipliers of the hash table, the draws and the keys of occurrences.
+HASH, BY_PLACE, BY_PIECE, STIR, BY_NUMBER = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x94D049BB133111EB
 
 
 class Vocabulary:
@@ -62,8 +68,8 @@ class Vocabulary:
                 if MARK in piece.lstrip(MARK):
                     raise ValueError(f"a piece goes over a word's end: {piece!r}")
         self.size = len(self.raw)
-        self.ranks = np.array(self.rank, dtype=np.float64)
-        self.of_char = np.full(0x110000, -1, dtype=np.int64)
+        self.ranks = np.array(self.rank, dtype=np.float32)  # whole numbers under 2 ** 24
+        self.of_char = np.full(0x110000, -1, dtype=np.int32)
         merges = {}
         for piece, i in self.ids.items():
             if len(piece) == 1:
@@ -72,14 +78,50 @@ class Vocabulary:
                 a, b = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                 if a is not None and b is not None:
                     merges[a * self.size + b] = i
-        self.pairs = np.array(sorted(merges), dtype=np.int64)
-        self.merged = np.array([merges[k] for k in self.pairs.tolist()], dtype=np.int64)
+        self._table(merges)
+
+    def _table(self, merges: dict[int, int]) -> None:
+        """An open hash table of the merges, a power of two at least four times as large."""
+        self.bits = max(8, (4 * len(merges)).bit_length())
+        self.keys = np.full((1 << self.bits) + 64, -1, dtype=np.int64)
+        self.made = np.full(len(self.keys), -1, dtype=np.int32)
+        for key, piece in sorted(merges.items()):
+            at = ((key * HASH) & MASK) >> (64 - self.bits)
+            while self.keys[at] >= 0:
+                at += 1
+            self.keys[at], self.made[at] = key, piece
 
     def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two neighbouring pieces make, -1 for none."""
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.merged[at], -1)
+        shape, a, b = a.shape, a.ravel(), b.ravel()
+        key = a.astype(np.int64) * self.size + b
+        at = ((key.view(np.uint64) * np.uint64(HASH)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[at]
+        out = np.where(there == key, self.made[at], -1)
+        more = np.flatnonzero((there != key) & (there >= 0))
+        while len(more):
+            at[more] += 1
+            there = self.keys[at[more]]
+            out[more] = np.where(there == key[more], self.made[at[more]], -1)
+            more = more[(there != key[more]) & (there >= 0)]
+        return np.where((np.minimum(a, b) >= 0) & (np.maximum(a, b) < self.size), out, -1).reshape(shape)
+
+
+    def spelt(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows filled up with -1, and how many each has; characters outside the vocabulary (size + code point) as byte pieces."""
+        there = rows >= 0
+        flat, count = rows[there], there.sum(axis=1)
+        if (flat < self.size).all():
+            return flat, count
+        code = np.where(flat == self.size + ord(OWN_MARK), ord(MARK), flat - self.size)
+        n = np.where(flat < self.size, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+        k = spread(np.zeros(len(n), dtype=np.int64), n)
+        value, code, size = np.repeat(flat, n), np.repeat(code, n), np.repeat(n, n)
+        tail = (code >> (6 * (size - 1 - k))) & 0x3F | 0x80
+        head = np.where(size == 1, code, (code >> (6 * (size - 1))) | ((0xF00 >> size) & 0xFF))
+        byte = np.where(k == 0, head, tail) & 0xFF
+        owner = np.repeat(np.arange(len(rows)), count)
+        return np.where(value < self.size, value, np.array(self.byte_ids)[byte]).astype(np.int32), np.bincount(owner, weights=n, minlength=len(rows)).astype(np.int64)
 
 
 @cache
@@ -88,113 +130,186 @@ def vocabulary(model: str) -> Vocabulary:
     return Vocabulary(model)
 
 
+class _Ragged:
+    """Rows of different lengths in one growing array."""
+
+    def __init__(self, kind):
+        self.flat, self.used = np.zeros(1 << 12, dtype=kind), 0
+        self.start, self.count, self.rows = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int64), 0
+
+    def append(self, flat: np.ndarray, count: np.ndarray) -> None:
+        for name, used, more in (("flat", self.used, len(flat)), ("start", self.rows, len(count)), ("count", self.rows, len(count))):
+            if used + more > len(getattr(self, name)):
+                setattr(self, name, np.resize(getattr(self, name), 2 * (used + more)))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[self.rows : self.rows + len(count)] = self.used + np.cumsum(count) - count
+        self.count[self.rows : self.rows + len(count)] = count
+        self.used, self.rows = self.used + len(flat), self.rows + len(count)
+
+
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1 and so on for count[0] places, then from start[1]."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 class Codec:
-    def __init__(self, vocab: Vocabulary, dropout: float = 0.1, seed: int = 0, variants: int = 8, room: int = 1_000_000):
-        self.vocab, self.seed, self.variants, self.room = vocab, seed, variants, room
+    """room: bytes that the known units may take up, about."""
+
+    def __init__(self, vocab: Vocabulary, dropout: float = 0.1, seed: int = 0, room: int = 64_000_000):
+        self.vocab, self.room = vocab, room
+        self.seed = np.uint64(xxhash.xxh64_intdigest(str(seed)))
         self.limit = int(dropout * (1 << 32))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.names: list[str] = []
+        self.ids, self.draws = _Ragged(np.int32), _Ragged(np.uint64)
 
     def encode(self, text: str, key: int = 0) -> bytes:
-        """Ids as 4-byte little-endian integers. key: the document's, turns the variants."""
+        """Ids as 4-byte little-endian integers. key: the document's."""
         return self.encode_many([text], [key])[0]
 
     def encode_many(self, texts: list[str | None], keys: list[int]) -> list[bytes]:
         out: list[bytes] = []
-        n, at = self.variants, 0
+        at = 0
         while at < len(texts):
-            if sum(map(len, self.known)) > self.room:
-                for own in self.known:
-                    own.clear()
-            some: list[list[str]] = []
-            size = 0
-            while at + len(some) < len(texts) and size < 150_000:
+            some, size = [], 0
+            while at + len(some) < len(texts) and size < 100_000:
                 t = texts[at + len(some)]
                 t = MARK + (t.replace(MARK, OWN_MARK) if MARK in t else t).replace(" ", MARK) if t else ""
                 some.append(UNIT.findall(t))
                 size += len(some[-1])
-            fresh: list[set[str]] = [set() for _ in range(n)]
-            for k, units in enumerate(some):
-                for v in range(n):
-                    fresh[v].update(units[(v - keys[at + k]) % n :: n])
-            for v, own in enumerate(self.known):
-                own.update(self.units(list(fresh[v].difference(own)), v))
-            for k, units in enumerate(some):
-                ids = [b""] * len(units)
-                for v in range(n):
-                    first = (v - keys[at + k]) % n
-                    ids[first::n] = map(self.known[v].__getitem__, units[first::n])
-                out.append(b"".join(ids))
+            out += self._encode(some, np.array(keys[at : at + len(some)], dtype=np.uint64))
             at += len(some)
         return out
 
-    def units(self, units: list[str], variant: int) -> dict[str, bytes]:
-        """Ids of many units. Agendas of short units advance side by side, one merge each at a time; others one by one."""
-        out: dict[str, bytes] = {}
-        by_width: dict[int, list[str]] = {}
+    def _encode(self, texts: list[list[str]], keys: np.ndarray) -> list[bytes]:
+        if len(self.known) * 250 > self.room:  # a key, a number and a dozen small ones each
+            self.forget()
+        self.learn(list(set().union(*texts).difference(self.known)))
+        many = np.array([len(t) for t in texts])
+        row = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=many.sum())
+        ids, count = self.ids, self.ids.count[row]
+        changed = np.zeros(0, dtype=np.int64)
+        if self.limit:
+            salt = self.salt(np.repeat(keys, many), spread(np.zeros(len(many), dtype=np.int64), many))
+            draws = self.draws.count[row]
+            owner = np.repeat(np.arange(len(row)), draws)
+            changed = np.unique(owner[self.skipped(self.draws.flat[spread(self.draws.start[row], draws)], salt[owner])])
+            flat, fresh = self.agendas([self.names[r] for r in row[changed].tolist()], salt[changed])
+            count[changed] = fresh
+        whole = np.empty(count.sum(), dtype="<i4")
+        same = np.ones(len(row), dtype=bool)
+        same[changed] = False
+        place = np.cumsum(count) - count
+        whole[spread(place[same], count[same])] = ids.flat[spread(ids.start[row[same]], count[same])]
+        if len(changed):
+            whole[spread(place[changed], fresh)] = flat
+        ends = np.cumsum(np.bincount(np.repeat(np.arange(len(many)), many), weights=count, minlength=len(many)).astype(np.int64))
+        return [whole[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def salt(self, key: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """What the draws of an occurrence go by: the seed, the document's key, and the unit's number in it."""
+        h = (self.seed ^ (key + np.uint64(1)) * np.uint64(HASH)) + number.astype(np.uint64) * np.uint64(BY_NUMBER)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(STIR)
+        return h ^ (h >> np.uint64(32))
+
+    def skipped(self, draw: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        h = (salt ^ draw) * np.uint64(STIR)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(STIR)
+        return (h >> np.uint64(32)) < np.uint64(self.limit)
+
+    def learn(self, units: list[str]) -> None:
+        """Pieces and merges, both without dropout, of units not met before."""
         for u in units:
-            by_width.setdefault(8 if len(u) <= 8 else 16 if len(u) <= 16 else 32 if len(u) <= 32 else 0, []).append(u)
-        for u in by_width.pop(0, []):
-            out[u] = np.array(self.unit(u, variant), dtype="<i4").tobytes()
-        for width, own in by_width.items():
-            for i in range(0, len(own), 20_000):
-                out.update(self.side_by_side(own[i : i + 20_000], variant, width))
-        return out
-
-    def side_by_side(self, units: list[str], variant: int, width: int) -> dict[str, bytes]:
+            self.known[u] = len(self.names)
+            self.names.append(u)
+        draws: list[tuple[np.ndarray, np.ndarray]] = []
+        flat, count = self.agendas(units, None, draws)
+        self.ids.append(flat, count)
+        who, draw = (np.concatenate([d[i] for d in draws]) for i in (0, 1)) if draws else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+        self.draws.append(draw[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(units)))
+
+    def units(self, units: list[str], salt: int) -> dict[str, bytes]:
+        """Pieces of many units, all with the same draws."""
+        flat, count = self.agendas(units, np.full(len(units), salt, dtype=np.uint64))
+        ends = np.cumsum(count)
+        return {u: flat[lo:hi].astype("<i4").tobytes() for u, lo, hi in zip(units, (ends - count).tolist(), ends.tolist(), strict=True)}
+
+    def agendas(self, units: list[str], salt: np.ndarray | None, draws: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of many units, one after the other, and how many each has. salt: no dropout for None. draws: takes (unit, draw) of the merges."""
+        size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        parts, count = [], np.zeros(len(units), dtype=np.int64)
+        for width, least in ((8, 0), (16, 8), (32, 16)):
+            every = np.flatnonzero((size > least) & (size <= width))
+            for i in range(0, len(every), 16_384):
+                at = every[i : i + 16_384]
+                flat, count[at] = self.side_by_side([units[k] for k in at.tolist()], size[at], None if salt is None else salt[at], width, at, draws)
+                parts.append((at, flat))
+        for k in np.flatnonzero(size > 32).tolist():
+            merges: list[tuple[int, int]] = []
+            flat = np.array(self.unit(units[k], None if salt is None else int(salt[k]), merges), dtype=np.int32)
+            count[k] = len(flat)
+            parts.append((np.array([k]), flat))
+            if draws is not None and merges:
+                m = np.array(merges, dtype=np.uint64)
+                draws.append((np.full(len(m), k), m[:, 0] * np.uint64(BY_PLACE) + m[:, 1] * np.uint64(BY_PIECE)))
+        place, out = np.cumsum(count) - count, np.empty(count.sum(), dtype=np.int32)
+        if parts:
+            every = np.concatenate([at for at, _ in parts])
+            out[spread(place[every], count[every])] = np.concatenate([flat for _, flat in parts])
+        return out, count
+
+    def side_by_side(self, units: list[str], size: np.ndarray, salt: np.ndarray | None, width: int, names: np.ndarray, draws: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """Agendas of short units, a merge each at a time: their pieces, one unit after the other, and how many each has."""
         vocab, n = self.vocab, len(units)
-        size = np.fromiter(map(len, units), dtype=np.int64, count=n)
-        chars = vocab.of_char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-        sym = np.full((n, width + 1), -1, dtype=np.int64)
-        sym[np.arange(width + 1)[None, :] < size[:, None]] = chars
-        odd = (sym >= 0).sum(axis=1) < size  # a character outside the vocabulary
-        out = {units[k]: np.array(self.unit(units[k], variant), dtype="<i4").tobytes() for k in np.flatnonzero(odd).tolist()}
-        salt = np.zeros(n, dtype=np.uint64)
-        if self.limit:
-            seed = self.seed * 1_000_003 + variant
-            salt = np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), seed) for u in units), dtype=np.uint64, count=n)
-        place = np.broadcast_to(np.arange(width + 1), sym.shape).copy()
-        live = np.flatnonzero(~odd)
-        sym, place, salt = sym[live], place[live], salt[live]
-        done_rows, done_sym = [], []
-        made = vocab.merge(sym[:, :-1], sym[:, 1:])
-        rank = self.judged(made, place[:, :-1], salt[:, None])
-        cols = np.arange(width + 1)
+        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        chars = vocab.of_char[code]
+        chars = np.where(chars >= 0, chars, code.astype(np.int32) + vocab.size)  # outside the vocabulary: merges with nothing
+        sym = np.full((n, width + 2), -1, dtype=np.int32)  # two places at the end stand for none
+        sym[np.arange(width + 2)[None, :] < size[:, None]] = chars
+        wide = width + 2
+        made = np.full((n, wide), -1, dtype=np.int32)
+        made[:, :-1] = vocab.merge(sym[:, :-1], sym[:, 1:])
+        after = np.broadcast_to(np.arange(1, wide + 1, dtype=np.int32), (n, wide)).copy()
+        after[:, -1] = wide - 1
+        before = np.broadcast_to(np.arange(-1, wide - 1, dtype=np.int32), (n, wide)).copy()
+        rank = self.judged(made, np.arange(wide)[None, :], None if salt is None else salt[:, None])
+        sym, made, after, before = (x.ravel() for x in (sym, made, after, before))
+        live = np.arange(n)
         while len(live):
-            best = rank.argmin(axis=1)
-            rows = np.arange(len(live))
-            open_ = np.isfinite(rank[rows, best])
-            if not open_.all():
-                done_rows.append(live[~open_])
-                done_sym.append(sym[~open_])
-                live, sym, place, salt, made, rank, best = (x[open_] for x in (live, sym, place, salt, made, rank, best))
-                rows = np.arange(len(live))
-                if not len(live):
-                    break
-            merged = made[rows, best]
-            after = cols[None, :] > best[:, None]  # what stands behind the merge moves one place to the left
-            sym = np.where(after, np.c_[sym[:, 1:], np.full(len(live), -1)], sym)
-            place = np.where(after, np.c_[place[:, 1:], np.zeros(len(live), dtype=np.int64)], place)
-            sym[rows, best] = merged
-            after = after[:, :-1]
-            made = np.where(after, np.c_[made[:, 1:], np.full(len(live), -1)], made)
-            rank = np.where(after, np.c_[rank[:, 1:], np.full(len(live), np.inf)], rank)
-            for shift in (-1, 0):  # the merge has new neighbours
-                c = np.maximum(best + shift, 0)
-                c = np.minimum(c, width - 1)
-                k = vocab.merge(sym[rows, c], sym[rows, c + 1])
-                made[rows, c], rank[rows, c] = k, self.judged(k, place[rows, c], salt)
-        if done_rows:
-            for k, row in zip(np.concatenate(done_rows).tolist(), np.concatenate(done_sym).astype("<i4"), strict=True):
-                out[units[k]] = row[row >= 0].tobytes()
-        return out
-
-    def judged(self, made: np.ndarray, place: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        """Ranks of candidate merges; infinite for none and for those that the keyed hash skips."""
-        rank = np.where(made >= 0, self.vocab.ranks[np.maximum(made, 0)], np.inf)
-        if self.limit:
-            h = (salt ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + made.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xD6E8FEB86659FD93)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            rank = np.where((h >> np.uint64(32)) < np.uint64(self.limit), np.inf, rank)
+            best = rank[live].argmin(axis=1)
+            open_ = np.isfinite(rank[live, best])
+            live, best = live[open_], best[open_]
+            if not len(live):
+                break
+            row = live * wide
+            i = row + best
+            j = row + after[i]
+            if draws is not None:
+                draws.append((names[live], best.astype(np.uint64) * np.uint64(BY_PLACE) + made[i].astype(np.uint64) * np.uint64(BY_PIECE)))
+            sym[i], sym[j] = made[i], -1
+            k = row + after[j]
+            after[i], before[k] = after[j], best
+            flat = rank.reshape(-1)
+            flat[j] = np.inf
+            h = before[i]
+            back = h >= 0
+            h = row[back] + h[back]
+            left, right = np.concatenate([i, h]), np.concatenate([k, i[back]])  # the merge has new neighbours
+            piece = vocab.merge(sym[left], sym[right])
+            made[left] = piece
+            of = np.concatenate([live, live[back]])
+            flat[left] = self.judged(piece, left - of * wide, None if salt is None else salt[of])
+        return vocab.spelt(sym.reshape(n, wide))
+
+    def judged(self, made: np.ndarray, place: np.ndarray, salt: np.ndarray | None) -> np.ndarray:
+        """Ranks of candidate merges; infinite for none and for those that their draw skips."""
+        rank = np.where(made >= 0, self.vocab.ranks[np.maximum(made, 0)], np.float32(np.inf))
+        if salt is not None:
+            draw = place.astype(np.uint64) * np.uint64(BY_PLACE) + made.astype(np.uint64) * np.uint64(BY_PIECE)
+            rank[self.skipped(draw, salt)] = np.inf
         return rank
 
     def decode(self, ids: bytes) -> str:
@@ -202,14 +317,13 @@ class Codec:
         out = b"".join(map(raw.__getitem__, np.frombuffer(ids, dtype="<i4").tolist()))
         return out[1:].decode("utf-8")
 
-    def unit(self, text: str, variant: int) -> list[int]:
-        """Agenda merges of one unit."""
-        ids, rank, limit = self.vocab.ids, self.vocab.rank, self.limit
+    def unit(self, text: str, salt: int | None = None, merges: list | None = None) -> list[int]:
+        """Agenda merges of one unit. merges: takes their places and pieces."""
+        ids, rank, limit = self.vocab.ids, self.vocab.rank, self.limit if salt is not None else 0
         sym = list(text)
         n = len(sym)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[float, int, int, int]] = []
-        salt = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + variant) if limit else 0
 
         def offer(i: int, j: int) -> None:
             k = ids.get(sym[i] + sym[j])
@@ -224,10 +338,12 @@ class Codec:
             if not sym[i] or j >= n or len(sym[i]) + len(sym[j]) != size:
                 continue  # one side was merged with another meanwhile
             if limit:
-                h = ((salt ^ (i * 0x9E3779B97F4A7C15 + k * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93) & MASK
-                h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & MASK
+                h = ((salt ^ ((i * BY_PLACE + k * BY_PIECE) & MASK)) * STIR) & MASK
+                h = ((h ^ (h >> 32)) * STIR) & MASK
                 if (h >> 32) < limit:
                     continue
+            if merges is not None:
+                merges.append((i, k))
             sym[i] += sym[j]
             sym[j] = ""
             right[i] = right[j]
@@ -250,11 +366,12 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(model: str, dropout: float, seed: int, variants: int) -> Codec:
-    """One for each setting and worker process, so that units stay known from batch to batch."""
-    key = (model, dropout, seed, variants)
+def codec(model: str, dropout: float, seed: int) -> Codec:
+    """The latest setting's codec stays in its worker process, so that units stay known from batch to batch."""
+    key = (model, dropout, seed)
     if key not in _codecs:
-        _codecs[key] = Codec(vocabulary(model), dropout, seed, variants if dropout else 1)
+        _codecs.clear()
+        _codecs[key] = Codec(vocabulary(model), dropout, seed)
     return _codecs[key]
 
 
@@ -262,14 +379,14 @@ def document_key(text: str | None) -> int:
     return zlib.crc32(text.encode("utf-8")) if text else 0
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 8) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """docs with the column `ids` (array of int; null for null)."""
     if ids in docs.columns:
         raise ValueError(f"there is a column {ids}")
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(model, dropout, seed, variants)
+        own = codec(model, dropout, seed)
         for b in batches:
             coded = own.encode_many(b.tolist(), list(map(document_key, b)))
             yield pd.Series([None if t is None else np.frombuffer(x, dtype="<i4") for t, x in zip(b, coded, strict=True)], dtype=object)
@@ -284,7 +401,7 @@ def decode(coded: DataFrame, ids: str = "ids", text: str = "decoded", model: str
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(model, 0.0, 0, 1)
+        own = codec(model, 0.0, 0)
         for b in batches:
             yield pd.Series([None if x is None else own.decode(np.asarray(x, dtype="<i4").tobytes()) for x in b], dtype=object)
 
@@ -309,11 +426,11 @@ class _Recode:
             yield b.assign(text=texts, n_pieces=pieces, ids_crc32=sums)
 
 
-def recode(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 8) -> DataFrame:
+def recode(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """docs with their texts encoded and decoded, n_pieces and ids_crc32 (columns of these names are replaced)."""
     slim = docs.drop("n_pieces", "ids_crc32")
     schema = StructType([*slim.schema.fields, StructField("n_pieces", LongType()), StructField("ids_crc32", LongType())])
-    return slim.mapInPandas(_Recode(model, dropout, seed, variants), schema)
+    return slim.mapInPandas(_Recode(model, dropout, seed), schema)
 
 
 class _RoundTrip:
@@ -340,11 +457,11 @@ class _RoundTrip:
             yield out
 
 
-def round_trip(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 8) -> DataFrame:
+def round_trip(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, decoded_sha256 (null for null), lossless."""
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean"
-    return docs.select("doc_id", "text").mapInPandas(_RoundTrip(model, dropout, seed, variants), schema)
+    return docs.select("doc_id", "text").mapInPandas(_RoundTrip(model, dropout, seed), schema)
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:

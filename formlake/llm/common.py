@@ -251,7 +251,7 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, width: int, ki
     return ((key >> np.uint64(32)) | (np.uint64(kind << 8) + np.arange(bands, dtype=np.uint64)) << np.uint64(32)).view(np.int64)
 
 
-class _Meet:
+class Meet:
     """Every two rows of a bucket."""
 
     def __call__(self, rows: pd.DataFrame):
@@ -261,7 +261,7 @@ class _Meet:
 def shared_keys(rows: DataFrame) -> Saved:
     """(id, bucket) for each of a row's `keys` that another id has too. rows: id (once each) and keys (array<long>)."""
     one = rows.select("id", F.explode("keys").alias("bucket"))
-    met = bucket_links(one, _Meet())
+    met = bucket_links(one, Meet())
     some = Saved(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     few = Saved(rows.join(some.df.hint("merge"), "id").select("id", F.explode("keys").alias("bucket")))
     some.drop()

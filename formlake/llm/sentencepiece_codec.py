@@ -155,7 +155,7 @@ def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 class Codec:
     """room: bytes that the known units may take up, about."""
 
-    def __init__(self, vocab: Vocabulary, dropout: float = 0.1, seed: int = 0, room: int = 64_000_000):
+    def __init__(self, vocab: Vocabulary, dropout: float = 0.1, seed: int = 0, room: int = 32_000_000):
         self.vocab, self.room = vocab, room
         self.seed = np.uint64(xxhash.xxh64_intdigest(str(seed)))
         self.limit = int(dropout * (1 << 32))

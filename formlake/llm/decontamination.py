@@ -4,7 +4,8 @@ Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z
 gives its windows of `n` words, an item of fewer words (but not none) one window of all its words. The set of window
 hashes travels with the plan as a hashed literal set; every window of every document is looked up in it, hits are
 verified against the set of window texts, and words inside verified windows are hit. The set's size is checked: beyond
-`literal_limit` windows the look-up becomes a join of exploded window hashes, with the same rows.
+`literal_limit` windows the set is a table, and the look-up a join of 8-byte window hashes that Spark broadcasts or shuffles by
+size; only windows whose hash is in it are spelt and compared. The rows are the same.
 
 Edge cases: null and empty texts have no words, so no hits; null items and items without words have no windows;
 an item_id null hits words but is no item in the list; repeated rows each get their row; an empty benchmark leaves
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formlake.llm.common import Saved, folded, words_of
+from formlake.llm.common import Saved, folded, shielded, words_of
 
 #: Whatever is neither a letter or digit of ASCII nor beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,24 +71,28 @@ def _found(length: int, grams: list) -> Column:
     return F.filter(spelt, lambda x: x["gram"].isin(texts))
 
 
-def _hit(i: Column, length: int) -> Column:
-    return F.struct(i.alias("pos"), F.lit(length).alias("len"), F.array_join(F.slice("w", i, F.lit(length)), " ").alias("gram"))
+def _hit(i: Column, length: int | Column) -> Column:
+    size = F.lit(length) if isinstance(length, int) else length
+    return F.struct(i.alias("pos"), size.alias("len"), F.array_join(F.slice("w", i, size), " ").alias("gram"))
 
 
 def _mark_by_join(worded: DataFrame, grams: DataFrame) -> DataFrame:
-    """The same by exploded windows, for a benchmark with more windows than a literal set should hold."""
+    """The same for a benchmark with more windows than a literal set should hold: window hashes are joined, then only what they hit is spelt and compared."""
     rows = Saved(worded.withColumn("rid_", F.monotonically_increasing_id()))
     lengths = [r["len"] for r in grams.select("len").distinct().collect()]  # 1 to n
-    spelt = [_all(k) for k in lengths]
-    each = rows.df.select("rid_", F.explode(F.concat(*spelt)).alias("hit"))
+    each = rows.df.select("rid_", F.explode(F.concat(*[_hashed(k) for k in lengths])).alias("at")).select("rid_", "at.*")
+    near = each.join(grams.select("len", "h").distinct(), ["len", "h"], "left_semi")
+    near = near.groupBy("rid_").agg(F.collect_list(F.struct("pos", "len")).alias("near"))
+    spelt = F.transform("near", lambda x: _hit(x["pos"], x["len"]))
+    each = rows.df.select("rid_", "w").join(near, "rid_").select("rid_", F.explode(spelt).alias("hit"))
     found = each.join(grams.select("len", "gram"), (F.col("hit.gram") == F.col("gram")) & (F.col("hit.len") == F.col("len")), "left_semi")
     hits = found.groupBy("rid_").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
     none = F.array().cast("array<struct<pos:int,len:int,gram:string>>")
     return rows.df.join(hits, "rid_", "left").withColumn("hits", F.coalesce("hits", none)).drop("rid_")
 
 
-def _all(length: int) -> Column:
-    return F.transform(_windows(length), lambda i: _hit(i, length))
+def _hashed(length: int) -> Column:
+    return F.transform(_windows(length), lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice("w", i, F.lit(length))).alias("h")))
 
 
 def covered(hits: Column) -> Column:
@@ -131,9 +136,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, literal_limit: in
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", n: int = 10) -> DataFrame:
     """docs without contaminated rows (mode "documents") or without the hit words and what follows each up to the
     next word (mode "spans"); clean rows stay as they are, and all columns are kept (n_chars follows the text)."""
-    columns = docs.columns
-    own = {c: f"c{i}_" for i, c in enumerate(columns) if c != "text"}
-    renamed = docs.select("text", *[F.col(f"`{c}`").alias(a) for c, a in own.items()])
+    renamed, back = shielded(docs, "text", "n_chars")
     marked = mark(renamed, benchmark, n)
     if mode == "documents":
         kept = marked.where(F.size("hits") == 0)
@@ -147,12 +150,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", n:
             marked.withColumn("ranges", F.when(is_hit, ranges)).withColumn("pieces", F.when(is_hit, pieces))
             .withColumn("left", F.when(is_hit, left)).withColumn("text", F.when(is_hit, cut).otherwise(F.col("text")))
         )
-    back = [F.col("text") if c == "text" else F.col(own[c]).alias(c) for c in columns]
-    out = kept.select(*back, F.size("hits").alias("hits_"))
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("hits_") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop("hits_")
+        kept = kept.withColumn("n_chars", F.when(F.size("hits") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return kept.select(*back)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from formlake.llm.common import Saved
 
 
-def records_with_offsets(pages: DataFrame, key: str = "page_id", archive_rows: int = 2000) -> DataFrame:
-    """archive, key, offset, length, body of page records laid end to end in order of key, `archive_rows` keys an archive.
+def records_with_offsets(pages: DataFrame, key: str = "page_id", archive_rows: int = 2000, bodies: bool = True) -> DataFrame:
+    """archive, key, offset, length, digest, changed of page records laid end to end in order of key, `archive_rows` keys an archive.
 
+    changed: the digest that the record has with one byte altered, for tests of an audit. bodies: the column body too; without it,
+    bodies are hashed where they are read and go no further.
     A record is a WARC header (type, target, length) and the page's bytes. An archive's number is its range of keys and a part: null
     keys, or keys that repeat so often that a range holds far more rows than keys, are dealt over parts by row. Keys that repeat
     stand in the order of their digests."""
@@ -34,20 +36,27 @@ def records_with_offsets(pages: DataFrame, key: str = "page_id", archive_rows: i
         F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     record = pages.select(F.col(key).alias("key"), F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("body"))
+    spoilt = F.concat(F.substring("body", 1, 20), F.encode(F.lit("#"), "UTF-8"), F.expr("substring(body, 22, octet_length(body))"))
+    record = record.select("key", F.octet_length("body").cast("long").alias("length"), F.sha2("body", 256).alias("digest"), F.sha2(spoilt, 256).alias("changed"), *(["body"] if bodies else []))
     span = F.coalesce(F.floor(F.col("key") / archive_rows), F.lit(-1)).cast("long")
     record = record.withColumn("span", span).withColumn("mid", F.monotonically_increasing_id())
     sizes = record.groupBy("span").agg(F.ceil(F.count("*") / (2 * archive_rows)).alias("parts"))
     slim = record.join(sizes, "span").select(
-        F.concat_ws("-", F.col("span").cast("string"), F.pmod(F.xxhash64("mid"), "parts").cast("string")).alias("archive"),
-        "key", "body", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("length"))
+        F.concat_ws("-", F.col("span").cast("string"), F.pmod(F.xxhash64("digest", "mid"), "parts").cast("string")).alias("archive"),
+        "key", "length", "digest", "changed", *(["body"] if bodies else []))
     before = F.sum("length").over(Window.partitionBy("archive").orderBy("key", "digest").rowsBetween(Window.unboundedPreceding, -1))
     return slim.withColumn("offset", F.coalesce(before, F.lit(0)))
 
 
+def with_digests(records: DataFrame) -> DataFrame:
+    """archive, offset, length, digest of records with a body."""
+    digest = F.when(F.col("body").isNull(), F.lit("null")).otherwise(F.sha2("body", 256))
+    return records.select("archive", "offset", F.octet_length("body").cast("long").alias("length"), digest.alias("digest"))
+
+
 def leaves(records: DataFrame, leaf_bytes: int) -> DataFrame:
-    """archive, node, offset, length, digest, times: hashed records, equal ones counted."""
-    digest = F.sha2(F.coalesce("body", F.encode(F.lit("null"), "UTF-8")), 256)
-    hashed = records.select("archive", "offset", F.octet_length("body").cast("long").alias("length"), F.when(F.col("body").isNull(), F.lit("null")).otherwise(digest).alias("digest"))
+    """archive, node, offset, length, digest, times: hashed records, equal ones counted. records: with length and digest, or with body."""
+    hashed = records.select("archive", "offset", "length", "digest") if "body" not in records.columns else with_digests(records)
     counted = hashed.groupBy("archive", "offset", "length", "digest").agg(F.count("*").alias("times"))
     return counted.withColumn("node", F.coalesce(F.floor(F.col("offset") / leaf_bytes), F.lit(-1)).cast("long"))
 
@@ -118,14 +127,18 @@ def damaged_copy(records: DataFrame, every: int = 97) -> DataFrame:
     record is gone, or an empty one stands there. The other records keep their offsets."""
     sum_ = F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit("null")).cast("binary")), 1, 8), 16, 10).cast("long")
     hit, kind = sum_ % every == 0, F.floor(sum_ / every) % 3
-    changed = F.concat(F.substring("body", 1, 20), F.encode(F.lit("#"), "UTF-8"), F.expr("substring(body, 22, octet_length(body))"))
-    body = F.when(hit & (kind == 0), changed).when(hit & (kind == 2), F.encode(F.lit(""), "UTF-8")).otherwise(F.col("body"))
-    return records.where(~(hit & (kind == 1))).withColumn("body", body)
+    digest = F.when(hit & (kind == 0), F.col("changed")).when(hit & (kind == 2), F.sha2(F.encode(F.lit(""), "UTF-8"), 256)).otherwise(F.col("digest"))
+    length = F.when(hit & (kind == 2), F.lit(0).cast("long")).otherwise(F.col("length"))
+    out = records.where(~(hit & (kind == 1))).withColumn("digest", digest).withColumn("length", length)
+    if "body" not in records.columns:
+        return out
+    spoilt = F.concat(F.substring("body", 1, 20), F.encode(F.lit("#"), "UTF-8"), F.expr("substring(body, 22, octet_length(body))"))
+    return out.withColumn("body", F.when(hit & (kind == 0), spoilt).when(hit & (kind == 2), F.encode(F.lit(""), "UTF-8")).otherwise(F.col("body")))
 
 
 def op3_warc_fixity(spark, sf_dir: str) -> DataFrame:
     """Damaged records of the replica of all pages made by `damaged_copy`: archive, offset, status, both records' length, digest and number."""
-    records = Saved(records_with_offsets(spark.read.parquet(f"{sf_dir}/pages.parquet"))).df
+    records = Saved(records_with_offsets(spark.read.parquet(f"{sf_dir}/pages.parquet"), bodies=False)).df
     damage, _ = audit(records, damaged_copy(records))
     return damage
 

@@ -409,8 +409,8 @@ def decode(coded: DataFrame, ids: str = "ids", text: str = "decoded", model: str
 
 
 class _Recode:
-    def __init__(self, *setting):
-        self.setting = setting
+    def __init__(self, names: list[str], *setting):
+        self.names, self.setting = names, setting
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(*self.setting)
@@ -423,14 +423,14 @@ class _Recode:
                     texts.append(own.decode(ids) if t else t)
                     pieces.append(len(ids) // 4)
                     sums.append(zlib.crc32(ids))
-            yield b.assign(text=texts, n_pieces=pieces, ids_crc32=sums)
+            yield b.assign(text=texts, **dict(zip(self.names, (pieces, sums), strict=True)))
 
 
 def recode(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 0) -> DataFrame:
-    """docs with their texts encoded and decoded, n_pieces and ids_crc32 (columns of these names are replaced)."""
-    slim = docs.drop("n_pieces", "ids_crc32")
-    schema = StructType([*slim.schema.fields, StructField("n_pieces", LongType()), StructField("ids_crc32", LongType())])
-    return slim.mapInPandas(_Recode(model, dropout, seed), schema)
+    """docs with their texts encoded and decoded, n_pieces and ids_crc32; underscores follow these names where docs has such columns."""
+    names = [next(n + "_" * k for k in range(len(docs.columns) + 1) if n + "_" * k not in docs.columns) for n in ("n_pieces", "ids_crc32")]
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)])
+    return docs.mapInPandas(_Recode(names, model, dropout, seed), schema)
 
 
 class _RoundTrip:

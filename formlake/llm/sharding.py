@@ -9,7 +9,9 @@ rows then find their shard by their rank within the arc. Ranks come from groups
 cells with many rows (one key may hold a third of all) are salted by row.
 
 Edge cases: a null key hashes like the text "null"; null text has size 1 and checksum 0; repeated rows and equal texts are placed
-one by one; an empty table gives no rows; further columns are ignored.
+one by one; an empty table gives no rows; further columns are kept, whatever their names, but for columns shard and slot, which are
+replaced. Rows with equal places go by their key and contents, so the result doesn't depend on how the input is cut into files as
+long as a cell's rows fit one group; equal rows are interchangeable.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlake.llm.common import Saved
+from formlake.llm.common import Saved, shielded
 
 BITS = 32
 
@@ -82,7 +84,13 @@ def place(rows: DataFrame, key: str, shards: int = 8, nodes: int = 64, slack: fl
     places = [p for p, _ in own]
     cells = [(c, bisect_left(places, c * width), [p for p in places if c * width <= p < (c + 1) * width]) for c in range(1 << cell_bits)]
     cells = spark.createDataFrame(cells, "cell int, base int, inside array<long>")  # 2 ** cell_bits rows
-    put = rows.withColumn("spot_", spot_column(F.col(key))).withColumn("mid_", F.monotonically_increasing_id())
+    place_of = spot_column(F.col(f"`{key}`"))
+    rows = rows.drop(*({"shard", "slot"} & set(rows.columns)))
+    spots = rows.withColumn("ring place", place_of)
+    rows, back = shielded(spots)
+    back, rows = back[:-1], rows.withColumnRenamed(rows.columns[-1], "spot_")
+    put = rows.withColumn("mid_", F.monotonically_increasing_id())
+    put = put.withColumn("same_", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
     put = put.withColumn("cell", F.floor(F.col("spot_") / width).cast("int")).join(F.broadcast(cells), "cell")
     arc = (F.col("base") + F.size(F.filter("inside", lambda p: p < F.col("spot_")))) % len(own)
     kept = Saved(put.withColumn("arc_", arc.cast("int")).withColumnRenamed("cell", "cell_").drop("base", "inside"))
@@ -97,10 +105,10 @@ def place(rows: DataFrame, key: str, shards: int = 8, nodes: int = 64, slack: fl
     counts = {r["arc_"]: r["n"] for r in sizes.df.groupBy("arc_").agg(F.sum("n_").alias("n")).collect()}
     plan = deal(counts, own, bounds(sum(counts.values()), shards, slack))
     plan = spark.createDataFrame(plan, "arc_ int, lo_ long, hi_ long, shard int, first_ long")  # two rows an arc, plus one for each shard that fills up
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("spot_", "mid_")) - 1
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("spot_", "same_", "mid_")) - 1
     ranked = salted.withColumn("rank_", rank).join(sizes.df.drop("n_"), group).withColumn("rank_", F.col("rank_") + F.col("before_"))
     dealt = ranked.join(F.broadcast(plan), "arc_").where("rank_ >= lo_ and rank_ < hi_")
-    return dealt.select(*rows.columns, "shard", (F.col("first_") + F.col("rank_") - F.col("lo_")).alias("slot"))
+    return dealt.select(*back, "shard", (F.col("first_") + F.col("rank_") - F.col("lo_")).alias("slot"))
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ inside it, so equal windows always name equal anchors in equal places, and neigh
 holds a row for each anchor and context (all the words that the windows with that anchor span) with its first occurrence, about a
 fourteenth of a row per window. Rows stand in immutable runs sorted by anchor. A new batch is joined with the runs by
 anchor; a context that an earlier document holds is repeated as a whole; where an anchor has several contexts, the window hashes
-of their first occurrences are worked out from the documents and compared one by one. Anchor and window hash are independent 64-bit
-hashes of the words, so an equality is verified by 128 bits. Batches go in by rising doc_id; a window is repeated if its words also
+of their first occurrences are worked out from the documents and compared one by one. Anchors, contexts and windows are hashed from independent
+64-bit hashes of the words, so an equality is verified by 128 bits. Batches go in by rising doc_id; a window is repeated if its words also
 start in a document with a smaller doc_id. Then the batch's new contexts become a run, and runs are merged when there are many.
 
 Edge cases: null and empty texts have no words and nothing to remove; texts of fewer words than a window have no windows;
@@ -16,6 +16,8 @@ repeated rows each get their row; an empty table gives no rows; texts of any len
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm.common import Saved
+from formlake.llm.common import Saved, remove, scratch_root
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -70,8 +72,10 @@ class Rolling:
         return mixed((prefix[start + length] - prefix[start]) * self.inverse[start] + np.asarray(length, dtype=np.uint64))
 
 
-def anchors(prefix: np.ndarray, roll: Rolling, size: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with the same anchor: first window, number of windows, anchor hash, context hash (both signed)."""
+def anchors(prefix: np.ndarray, roll: Rolling, other: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with the same anchor: first window, number of windows, anchor hash, context hash (both signed).
+
+    other: prefix sums of independent word hashes, from which the context's hash comes, so that it verifies what the anchor's hash finds."""
     n = len(prefix) - 1
     every = roll.runs(prefix, np.arange(n - anchor + 1), anchor)
     inside = size - anchor + 1
@@ -79,14 +83,14 @@ def anchors(prefix: np.ndarray, roll: Rolling, size: int, anchor: int) -> tuple[
     start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     count = np.diff(np.r_[start, len(at)])
     where = at[start]
-    context = roll.runs(prefix, start, count + size - 1) ^ mixed((where - start).astype(np.uint64) + np.uint64(1))
+    context = roll.runs(other, start, count + size - 1) ^ mixed((where - start).astype(np.uint64) + np.uint64(1))
     return start, count, every[where].view(np.int64), context.view(np.int64)
 
 
 class _Anchors:
     def __init__(self, size: int, anchor: int):
         self.size, self.anchor = size, anchor
-        self.roll = Rolling(11)
+        self.roll, self.other = Rolling(11), Rolling(13)
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -96,7 +100,7 @@ class _Anchors:
                 words = text.encode("utf-8").split() if text else ()
                 if len(words) < self.size:
                     continue
-                start, count, fp, context = anchors(self.roll.prefix(words), self.roll, self.size, self.anchor)
+                start, count, fp, context = anchors(self.roll.prefix(words), self.roll, self.other.prefix(words), self.size, self.anchor)
                 out.append((np.full(len(start), doc), np.full(len(start), tk), start, count, fp, context))
                 held += len(start)
                 if held > 200_000:
@@ -158,38 +162,53 @@ class _Cut:
             yield out
 
 
+RUN = "fp long, context long, at struct<doc_id: long, tk: long, start: int, count: int>"
 OCCURRENCE = "doc_id long, tk long, start int, count int, fp long, context long"
 
 
 class FingerprintIndex:
-    """Immutable runs of (fp, context, first occurrence), sorted by fp; documents go in by batches of rising doc_id."""
+    """Immutable runs of (fp, context, first occurrence), sorted by fp; documents go in by batches of rising doc_id.
+
+    path: a folder that the executors share; runs that lie there from before, also from another session, belong to the index. A run is written
+    under a name of its own and counts once it is complete (Spark's marker _SUCCESS), so a failed ingest leaves the index as it was."""
 
-    def __init__(self, spark: SparkSession, size: int = 50, anchor: int = 25, most_runs: int = 4):
+    def __init__(self, spark: SparkSession, path: str | None = None, size: int = 50, anchor: int = 25, most_runs: int = 4):
         self.spark, self.size, self.anchor, self.most_runs = spark, size, anchor, most_runs
-        self.runs: list[Saved] = []
+        self.path = path or f"{scratch_root(spark)}/formlake/index-{uuid.uuid4().hex}"
+
+    @property
+    def runs(self) -> list[str]:
+        """Folders of the complete runs; a compacted run replaces all runs before it, whether they are gone yet or not."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = sorted(str(x.getPath().getName()) for x in fs.listStatus(at)) if fs.exists(at) else []
+        whole = [x for x in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}/_SUCCESS"))]
+        last = max((i for i, x in enumerate(whole) if x.endswith("compacted")), default=0)
+        return [f"{self.path}/{x}" for x in whole[last:]]
 
     def rows(self) -> DataFrame | None:
-        out = None
-        for run in self.runs:
-            out = run.df if out is None else out.union(run.df)
-        return out
-
-    def write(self, contexts: DataFrame) -> None:
-        self.runs.append(Saved(contexts.select("fp", "context", "at").sortWithinPartitions("fp", "context")))
-        if len(self.runs) > self.most_runs:
+        runs = self.runs
+        return self.spark.read.schema(RUN).parquet(*runs) if runs else None
+
+    def write(self, contexts: DataFrame, kind: str = "batch") -> None:
+        name = f"run-{time.time_ns():020d}-{kind}"
+        contexts.select("fp", "context", "at").sortWithinPartitions("fp", "context").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        if kind == "batch" and len(self.runs) > self.most_runs:
             self.compact()
 
     def compact(self) -> None:
         """All runs become one; of a context that stands in several the first occurrence stays."""
-        merged = self.rows().groupBy("fp", "context").agg(F.min("at").alias("at"))
-        old, self.runs = self.runs, [Saved(merged.sortWithinPartitions("fp", "context"))]
+        old = self.runs
+        self.write(self.rows().groupBy("fp", "context").agg(F.min("at").alias("at")), "compacted")
         for run in old:
-            run.drop()
+            remove(self.spark, run)
 
-    def ingest(self, batch: DataFrame, documents: DataFrame) -> Saved:
+    def ingest(self, batch: DataFrame, documents: DataFrame, keep: bool = True) -> Saved:
         """Ranges of repeated windows in the batch (doc_id, tk, start, count), then the batch belongs to the index.
 
-        batch, documents: doc_id (long, not null), text; documents holds at least all documents that were ingested, and the batch."""
+        batch, documents: doc_id (long, not null), text; documents holds at least all documents that were ingested, and the batch.
+        keep: False for a last batch, when nothing will be held against the index any more."""
         slim = batch.select("doc_id", F.xxhash64("text").alias("tk"), "text")
         own = Saved(slim.mapInPandas(_Anchors(self.size, self.anchor), OCCURRENCE))
         at = F.min(F.struct("doc_id", "tk", "start", "count")).alias("at")
@@ -213,30 +232,29 @@ class FingerprintIndex:
         ranges = Saved(whole.union(single))
         windows.drop()
         own.drop()
-        self.write(fresh.df if known is None else fresh.df.join(known.select("fp", "context"), ["fp", "context"], "left_anti"))
+        if keep:
+            self.write(fresh.df if known is None else fresh.df.join(known.select("fp", "context"), ["fp", "context"], "left_anti"))
         fresh.drop()
         if isinstance(merged, Saved):
             merged.drop()
         return ranges
 
     def drop(self) -> None:
-        for run in self.runs:
-            run.drop()
-        self.runs = []
+        remove(self.spark, self.path)
 
 
-def dedup(docs: DataFrame, size: int = 50, anchor: int = 25, batches: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, size: int = 50, anchor: int = 25, batches: int = 3, most_runs: int = 1) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of each document, ingested in `batches` by rising doc_id."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = slim.where("doc_id is not null")
     cuts = sorted(set(named.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
-    index, found = FingerprintIndex(spark, size, anchor), None
+    index, found = FingerprintIndex(spark, None, size, anchor, most_runs), None
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         inside = named
         inside = inside if lo is None else inside.where(F.col("doc_id") > lo)
         inside = inside if hi is None else inside.where(F.col("doc_id") <= hi)
-        ranges = index.ingest(inside, named if hi is None else named.where(F.col("doc_id") <= hi))
+        ranges = index.ingest(inside, named if hi is None else named.where(F.col("doc_id") <= hi), keep=hi is not None)
         found = ranges.df if found is None else found.union(ranges.df)
     index.drop()
     gone = found.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "count")).alias("gone"))

@@ -72,7 +72,7 @@ def extract_fields(docs: DataFrame, fields: dict[str, list[str]] | None = None)
         for k, patterns in (fields or FIELDS).items() for i, p in enumerate(patterns)
     ]
     # lateral: candidates are made and judged row by row, then the best of each field of a document is taken
-    docs = docs.select("doc_id", "text", F.translate(F.lower("text"), "\u017f", "s").alias("low"))  # a long s counts as an s without case
+    docs = docs.select("doc_id", "text", F.translate(F.lower(F.translate("text", "\u0130", "i")), "\u017f\u0131", "si").alias("low"))  # without case, a long s counts as an s, dotted and dotless i as i
     found = docs.select("doc_id", F.filter(F.array(*cands), lambda c: c["value"] != "").alias("found"))
     scored = F.transform("found", lambda c: F.struct(c["field"].alias("field"), value_confidence(c["field"], c["value"]).alias("confidence"), (-c["pattern_idx"]).alias("order"), c["value"].alias("value")))
     scored = found.select("doc_id", F.filter(scored, lambda c: c["confidence"] > 0).alias("scored"))
@@ -118,6 +118,24 @@ def match_lines(docs: DataFrame, fields: dict | None = None, threshold: float =
     return best.select("doc_id", "field", "b.*").where(F.col("confidence") >= threshold)
 
 
+def matched_fields(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, field): the fields that the line matcher finds."""
+    return match_lines(docs, **options).select("doc_id", "field").distinct()
+
+
+def partial_fields(docs: DataFrame, names: list[str] | None = None, **options) -> DataFrame:
+    """One row a document with a match: map field -> value of the matched fields, of those named only if names are given."""
+    found = match_lines(docs, **options)
+    found = found if names is None else found.where(F.col("field").isin(names))
+    ordered = F.array_sort(F.collect_list(F.struct("field", "value")))
+    return found.groupBy("doc_id").agg(F.map_from_entries(ordered).alias("fields"))
+
+
+def pair_values(texts: DataFrame, column: str = "text", **options) -> DataFrame:
+    """partial_fields of a table of single texts, each a document of its own, numbered."""
+    return partial_fields(texts.select(F.monotonically_increasing_id().alias("doc_id"), F.col(column).alias("text")), None, **options)
+
+
 def label_lines(docs: DataFrame, ends: str = r"\n") -> DataFrame:
     """(doc_id, line_idx, label, value) of lines with a colon and something behind it, cut at the first colon."""
     lines = F.split("text", ends, -1) if ends == r"\n" else split_lines(F.col("text"))

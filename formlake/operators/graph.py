@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +28,16 @@ def in_degree(rows: DataFrame, top: int = 10) -> DataFrame:
     return edges(rows).groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(top)
 
 
-def cycles(rows: DataFrame, longest: int = 6) -> DataFrame:
-    """Simple cycles of 2 to `longest` modules, each once, from its least module, as cycle array<string>."""
+def cycles(rows: DataFrame, longest: int | None = None) -> DataFrame:
+    """Simple cycles of 2 or more modules, each once, from its least module, as cycle array<string>; of any length unless `longest` is given."""
     step = edges(rows).where("src <> dst")
     paths = step.select(F.array("src", "dst").alias("path"))
     found = None
-    for _ in range(longest - 1):
+    for length in count(2):
+        if longest is not None and length > longest or longest is None and length > 2 and paths.isEmpty():
+            return found
         ends = paths.select("path", F.element_at("path", -1).alias("src"))
         grown = ends.join(step, "src").select("path", "dst")
         closed = grown.where(F.col("dst") == F.col("path")[0]).where(F.col("path")[0] == F.array_min("path")).select(F.col("path").alias("cycle"))
         found = closed if found is None else found.unionByName(closed)
         paths = grown.where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
-    return found

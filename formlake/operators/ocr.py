@@ -26,7 +26,7 @@ def recognise(pages: DataFrame, maker: EngineMaker, engine: str) -> DataFrame:
                 try:
                     rows.append((*own(image), None))
                 except Exception as e:  # noqa: BLE001  one bad page must not stop the others
-                    rows.append(("", 0.0, str(e)[:200]))
+                    rows.append(("", 0.0, str(e)))
             yield pd.DataFrame(rows, columns=["text", "confidence", "error"])
 
     found = pages.withColumn("r", run("image"))

@@ -161,7 +161,7 @@ def erode(on: np.ndarray, height: int = 2, width: int = 2) -> np.ndarray:
 def text_lines(img: np.ndarray, least: int = 12, threshold: float = 50) -> list[tuple[int, int]]:
     """(y1, y2) of text lines; a line that touches the bottom edge isn't reported."""
     ink = 255 - binarise(grey(img), "adaptive", 31, 15)
-    rows = dilate(ink, 3, 50).mean(axis=1) if ink.shape[1] >= 50 else ink.mean(axis=1)
+    rows = dilate(ink, 3, min(50, ink.shape[1])).sum(axis=1, dtype=np.int64)
     out, start = [], None
     for y, v in enumerate(rows.tolist()):
         if start is None and v > threshold:
@@ -173,6 +173,24 @@ def text_lines(img: np.ndarray, least: int = 12, threshold: float = 50) -> list[
     return out
 
 
+def has_run(on: np.ndarray, length: int) -> np.ndarray:
+    """Whether each row holds so many dark points side by side."""
+    sums = np.cumsum(np.pad(on > 0, ((0, 0), (1, 0))), axis=1, dtype=np.int64)
+    if on.shape[1] < length:
+        return np.zeros(len(on), dtype=bool)
+    return (sums[:, length:] - sums[:, :-length] == length).any(axis=1)
+
+
+def gaps(g: np.ndarray) -> tuple[float, float, bool]:
+    """Spread of the distances between rows with a run of 40 dark points, and between columns with one of 5; whether there are such rows."""
+    ink = 255 - binarise(g)
+    out = []
+    for on, length in ((ink, 40), (ink.T, 5)):
+        at = np.flatnonzero(has_run(on, length))
+        out.append((float(np.diff(at).std()) if len(at) > 1 else 0.0, len(at) > 0))
+    return out[0][0], out[1][0], out[0][1]
+
+
 def regions(on: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(x, y, w, h) of connected areas, by joining runs of neighbouring rows."""
     boxes, parent, before = [], [], []
@@ -239,6 +257,27 @@ def quality(m: Column, mode: str = "rich") -> Column:
     return F.struct(label.alias("label"), score.alias("score"), blurry.alias("is_blurry"), noise_.alias("is_noisy"), dark.alias("is_dark"), over.alias("is_over_exposed"), (m["straight"] >= table).alias("table_like"))
 
 
+def issues(m: Column) -> Column:
+    """What is wrong with an image, as array<string>: blur, noise, dark, over_exposed."""
+    light = F.when(m["brightness"] < 60, "dark").when(m["brightness"] > 210, "over_exposed")
+    return F.array_compact(F.array(F.when(m["blur"] < 80, "blur"), F.when(m["noise"] > 25, "noise"), light))
+
+
+def suggest_retake(m: Column) -> Column:
+    """Blurred and dark images should be taken again."""
+    return (m["blur"] < 80) | (m["brightness"] < 60)
+
+
+def gap_measure(image: pd.DataFrame) -> pd.DataFrame:
+    rows = [gaps(grey(pixels(h, w, c, data))) for h, w, c, data in zip(image["height"], image["width"], image["nChannels"], image["data"], strict=True)]
+    return pd.DataFrame(rows, columns=["line_gap", "char_gap", "has_lines"])
+
+
+def gap_measures(image: Column) -> Column:
+    """struct(line_gap, char_gap, has_lines) of an image column, for `route.text_kind`."""
+    return F.pandas_udf(gap_measure, "struct<line_gap:double,char_gap:double,has_lines:boolean>")(image)
+
+
 def pixel_operation(change: Callable[[np.ndarray], np.ndarray]):
     """A function of image columns from one on pixel arrays; several operations fused in `change` cost one pass."""
 

@@ -73,7 +73,10 @@ def save(templates: DataFrame, path: str) -> None:
 
 
 def load(templates: DataFrame, path: str) -> DataFrame:
-    """templates with those of the file put in or over them."""
+    """templates with those of the file put in or over them; as they are if there is no such file."""
+    at = templates.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(templates.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return templates
     found = templates.sparkSession.read.schema(SCHEMA).json(path)
     return latest(templates.unionByName(found.withColumn("version", F.col("version") + 1_000_000)))
 

@@ -40,8 +40,14 @@ def accepted(files: DataFrame, limit: int = MAX_BYTES) -> tuple[DataFrame, DataF
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """Page images in Spark's image struct."""
-    return spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
+    """Page images in Spark's image struct; a file that is no image has height -1 and no data, see `readable`."""
+    return spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path)
+
+
+def readable(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The images that could be read, and path and reason of the others."""
+    good = F.col("image.height") > 0
+    return found.where(good), found.where(~F.coalesce(good, F.lit(False))).select(F.col("image.origin").alias("path"), F.lit("not an image").alias("reason"))
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:

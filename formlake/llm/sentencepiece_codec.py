@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from formlake.llm.common import shielded
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -429,8 +431,9 @@ class _Recode:
 def recode(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """docs with their texts encoded and decoded, n_pieces and ids_crc32; underscores follow these names where docs has such columns."""
     names = [next(n + "_" * k for k in range(len(docs.columns) + 1) if n + "_" * k not in docs.columns) for n in ("n_pieces", "ids_crc32")]
-    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)])
-    return docs.mapInPandas(_Recode(names, model, dropout, seed), schema)
+    named, back = shielded(docs, "text")
+    schema = StructType([*named.schema.fields, *(StructField(n, LongType()) for n in names)])
+    return named.mapInPandas(_Recode(names, model, dropout, seed), schema).select(*back, *names)
 
 
 class _RoundTrip:

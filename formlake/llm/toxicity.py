@@ -237,7 +237,7 @@ def _descend(w: np.ndarray, new: np.ndarray, x: np.ndarray, y: np.ndarray, c: np
     """The best of some points from w to new and a little beyond it being halved, by the machine's loss."""
 
     def loss(v: np.ndarray) -> float:
-        return 0.5 * float(v[:-1] @ v[:-1] + 1e-6 * v[-1] ** 2 + (c * np.maximum(0, 1 - y * (x @ v)) ** 2).sum())
+        return float(v[:-1] @ v[:-1] + 1e-6 * v[-1] ** 2 + (c * np.maximum(0, 1 - y * (x @ v)) ** 2).sum())
 
     return min((w + t * (new - w) for t in (1.0, 0.5, 0.25, 0.1, 0.03)), key=loss)
 

@@ -243,7 +243,7 @@ class FingerprintIndex:
         remove(self.spark, self.path)
 
 
-def dedup(docs: DataFrame, size: int = 50, anchor: int = 25, batches: int = 3, most_runs: int = 1) -> DataFrame:
+def dedup(docs: DataFrame, size: int = 50, anchor: int = 25, batches: int = 2, most_runs: int = 4) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of each document, ingested in `batches` by rising doc_id."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

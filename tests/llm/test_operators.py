@@ -151,6 +151,16 @@ def test_edit_distance():
         a, b = ("".join(r.choice("abc") for _ in range(r.randrange(14))) for _ in range(2))
         most = r.randrange(9)
         assert min(plain(a, b), most + 1) == min(line_dedup.edit_distance(a, b, most), most + 1)
+    words = ["lorem", "ipsum", "é字", "dolor-sit", "a", "amet,"]
+    for _ in range(60):
+        a = " ".join(r.choice(words) for _ in range(r.randint(1, 60)))
+        b = " ".join(w if r.random() > 0.15 else r.choice(["x", "sed", w[::-1], w + " " + w]) for w in a.split(" "))
+        far = plain(a, b)
+        for most in (0, 10, 40, 90):
+            assert line_dedup.edit_distance(a, b, most) == min(far, most + 1)
+        assert line_dedup.word_bound(*line_dedup.trimmed(a, b), 10**6) >= far
+        assert line_dedup.similar(a, b, 0.8) == (far <= int(0.2 * max(len(a), len(b)) + 1e-9))
+        assert not line_dedup.similar(a, b, 0.8, exact=False) or line_dedup.similar(a, b, 0.8)
 
 
 def brute_windows(rows, size):

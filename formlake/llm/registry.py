@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from formlake.llm import decontamination, embedding_dedup, exact_dedup, fixity, line_dedup, sentencepiece_codec, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
+from formlake.llm import decontamination, embedding_dedup, exact_dedup, fixity, line_dedup, sentencepiece_codec, sharding, simhash_dedup, substring_dedup, token_alignment, token_counts, toxicity
 
 SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
@@ -25,6 +25,7 @@ def queries() -> dict:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_simhash": simhash_dedup.op10_simhash,
+        "op11_token_alignment": token_alignment.op11_token_alignment,
         "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     }
 

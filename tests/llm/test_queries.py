@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_decontamination": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
     "op9_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op11_token_alignment": {"doc_id": "bigint", **dict.fromkeys(["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"], "bigint"), "groups_sha256": "string"},
     "op13_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
 }
 

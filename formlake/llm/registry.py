@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from formlake.llm import decontamination, embedding_dedup, exact_dedup, fixity, line_dedup, sentencepiece_codec, sharding, simhash_dedup, substring_dedup, token_alignment, token_counts, toxicity
+from formlake.llm import collocations, decontamination, embedding_dedup, exact_dedup, fixity, line_dedup, sentencepiece_codec, sharding, simhash_dedup, substring_dedup, token_alignment, token_counts, toxicity
 
 SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op3_warc_fixity": fixity.OP3_SQL,
     "op4_embedding_dedup": embedding_dedup.OP4_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
+    "op12_phrase_collocations": collocations.OP12_SQL,
     "op13_exact_dedup": exact_dedup.OP13_SQL,
 }
 
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_simhash": simhash_dedup.op10_simhash,
         "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op12_phrase_collocations": collocations.op12_phrase_collocations,
         "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     }
 

@@ -20,6 +20,7 @@ COLUMNS = {
     "op9_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op11_token_alignment": {"doc_id": "bigint", **dict.fromkeys(["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"], "bigint"), "groups_sha256": "string"},
+    "op12_phrase_collocations": {"lang": "string", "rank": "bigint", "phrase": "string", **dict.fromkeys(["a", "l", "r", "n", "score"], "bigint")},
     "op13_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
 }
 
@@ -31,7 +32,7 @@ def test_query(spark, name):
         assert dict(got.dtypes) == COLUMNS[name]
     rows = got.collect()
     table = {"op4_embedding_dedup": "embeddings"}.get(name, "documents")
-    if name not in ("op1_line_dedup", "op3_warc_fixity"):
+    if name not in ("op1_line_dedup", "op3_warc_fixity", "op12_phrase_collocations"):
         assert len(rows) == spark.read.parquet(f"{SF}/{table}.parquet").count()
     if name == "op9_toxicity":
         assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)

@@ -43,7 +43,7 @@ BROADCAST = 4_000_000
 #: A pair of ids as one number.
 WIDTH = 1 << 24
 #: Bytes of text in a slab.
-ROOM = 1 << 22
+ROOM = 1 << 21
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -112,7 +112,7 @@ class _Units:
 
     Held until they take up `room` bytes, about."""
 
-    def __init__(self, a: str, b: str, room: int = 96_000_000):
+    def __init__(self, a: str, b: str, room: int = 48_000_000):
         self.sides, self.room = (byte_level(a), pieces(b)), room
         self.clear()
 

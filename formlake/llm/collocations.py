@@ -74,7 +74,7 @@ def intervals(ids: np.ndarray, room: np.ndarray, longest: int) -> Iterator[tuple
 
 
 class _Shards:
-    """Batches (lang, text) to (lang, words, count)."""
+    """Batches (lang, text) to (lang and phrase with a line feed between, count)."""
 
     def __init__(self, longest: int, room: int):
         self.longest, self.room = longest, room
@@ -122,26 +122,29 @@ class _Shards:
         ids = ids + lang * len(known)  # a word of another lang is another word
         for n, at, count in intervals(ids, room, self.longest):
             parts = [known.take(pa.array(ids[at + k] % len(known))) for k in range(n)]
-            words_ = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
-            langs = pa.array(names, pa.string()).take(pa.array(lang[at]))
+            phrases = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
+            langs = pa.array([name.encode() for name in names], pa.binary()).take(pa.array(lang[at]))
+            keys = pc.binary_join_element_wise(langs, phrases, pa.scalar(b"\n", pa.binary()))
             for lo in range(0, len(at), 50_000):
                 cut = slice(lo, lo + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [langs[cut], pa.array(np.full(len(at[cut]), n, dtype=np.int32)), words_[cut].view(pa.string()), pa.array(count[cut].astype(np.int64))], names=["lang", "size", "phrase", "a"])
+                yield pa.RecordBatch.from_arrays([keys[cut].view(pa.string()), pa.array(count[cut].astype(np.int64))], names=["key", "a"])
 
 
-def phrase_counts(docs: DataFrame, longest: int = 3, room: int = 4 << 20) -> DataFrame:
+def phrase_counts(docs: DataFrame, longest: int = 3, room: int = 8 << 20) -> DataFrame:
     """(lang, size, phrase, a) of all phrases of 1 to `longest` words of docs (lang, text); phrase: the words with a space between."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text <> ''")
-    found = texts.mapInArrow(_Shards(longest, room), "lang string, size int, phrase string, a long")
-    return found.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
+    found = texts.mapInArrow(_Shards(longest, room), "key string, a long")
+    # lang and phrase travel as one string: no phrase has a line feed
+    merged = found.groupBy("key").agg(F.sum("a").alias("a")).withColumn("phrase", F.substring_index("key", "\n", -1))
+    lang = F.substring("key", F.lit(1), F.length("key") - F.length("phrase") - 1)
+    return merged.select(lang.alias("lang"), (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).alias("size"), "phrase", "a")
 
 
 def _words(phrase: Column, first: Column | int, n: Column | int) -> Column:
     return F.array_join(F.slice(F.split(phrase, " ", -1), first, n), " ")
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = 10, inside: int = 50, longest: int = 3, room: int = 4 << 20, salts: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, least: int = 10, inside: int = 50, longest: int = 3, room: int = 8 << 20, salts: int = 64) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `top` candidates of each lang by score, count and phrase."""
     counts = Saved(phrase_counts(docs, longest, room).where((F.col("a") >= least) | (F.col("size") == 1))).df
     total = counts.where("size = 1").groupBy("lang").agg(F.sum("a").alias("n"))

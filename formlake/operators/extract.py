@@ -1,7 +1,8 @@
 """Text to fields: the whole-text mapper, the line matcher, generic label-value pairs, and their merger.
 
-All steps up to the merger work inside the row (arrays of candidates, picked by order), so they need no shuffle; the
-merger groups by (doc_id, field) once.
+All steps work inside the row: arrays of candidates, of which the best of each field is picked by order. The merger too is a sort of a
+row's own candidates by field and precedence, so an extraction reads its texts once and shuffles nothing. Every row of docs is a document
+of its own.
 """
 
 from __future__ import annotations
@@ -25,6 +26,26 @@ NEEDED = {
 }
 _WORDS = {p: w.split() for k, words in NEEDED.items() for p, w in zip(FIELDS[k], words, strict=False)}
 
+#: Words of which a line must hold one for a label of the line matcher to stand in it.
+LABEL_WORDS = {
+    "name": ["name"], "date_of_birth": ["b"], "id_number": ["id", "document"], "email": ["mail"], "phone": ["phone", "mobile", "contact"], "address": ["addr"],
+    "aadhaar_number": ["aadha", "uid"], "pan_number": ["pan"], "passport_number": ["passport"], "license_number": ["licen", "dl"],
+}
+#: What else a line must hold: labels end in one of the marks, or are a phrase.
+LABEL_ENDS = [":", "=", "is"]
+
+
+def _low(text: Column) -> Column:
+    """Small letters; as in patterns without case a long s counts as an s, dotted and dotless i as i."""
+    return F.translate(F.lower(F.translate(text, "\u0130", "i")), "\u017f\u0131", "si")
+
+
+def _holds(low: Column, words: list[str]) -> Column:
+    found = low.contains(words[0])
+    for w in words[1:]:
+        found = found | low.contains(w)
+    return found
+
 
 def _searched(pattern: str) -> Column:
     """The pattern's first group in `text`, sought only where `low`, the text in small letters, holds a word that the pattern needs."""
@@ -32,10 +53,7 @@ def _searched(pattern: str) -> Column:
     words = _WORDS.get(pattern)
     if not words:
         return found
-    holds = F.col("low").contains(words[0])
-    for w in words[1:]:
-        holds = holds | F.col("low").contains(w)
-    return F.when(holds, found).otherwise("")
+    return F.when(_holds(F.col("low"), words), found).otherwise("")
 
 
 def available_fields(docs: DataFrame, templates: dict | None = None) -> DataFrame:
@@ -65,19 +83,32 @@ def value_confidence(field: Column, value: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), conf))
 
 
-def extract_fields(docs: DataFrame, fields: dict[str, list[str]] | None = None) -> DataFrame:
-    """(doc_id, field, value, confidence, pattern_idx): each field's best value in the text; the earliest pattern wins ties."""
+def _rows(docs: DataFrame, column: str) -> DataFrame:
+    """doc_id with a row for each struct of an array.
+
+    An outer generator: for an inner one Spark infers a filter on the array's size, for which the array would be made once more."""
+    return docs.select("doc_id", F.inline_outer(column)).where("field is not null")
+
+
+def _with_best(docs: DataFrame, fields: dict[str, list[str]] | None = None) -> DataFrame:
+    """docs (doc_id, text) with `best`: array of structs field, confidence, order (minus the pattern's number), value; one of each field found."""
     cands = [
         F.struct(F.lit(k).alias("field"), F.lit(i).alias("pattern_idx"), clean_value(_searched(p)).alias("value"))
         for k, patterns in (fields or FIELDS).items() for i, p in enumerate(patterns)
     ]
     # lateral: candidates are made and judged row by row, then the best of each field of a document is taken
-    docs = docs.select("doc_id", "text", F.translate(F.lower(F.translate("text", "\u0130", "i")), "\u017f\u0131", "si").alias("low"))  # without case, a long s counts as an s, dotted and dotless i as i
-    found = docs.select("doc_id", F.filter(F.array(*cands), lambda c: c["value"] != "").alias("found"))
+    docs = docs.select("doc_id", "text", _low(F.col("text")).alias("low"))
+    found = docs.select("doc_id", "text", F.filter(F.array(*cands), lambda c: c["value"] != "").alias("found"))
     scored = F.transform("found", lambda c: F.struct(c["field"].alias("field"), value_confidence(c["field"], c["value"]).alias("confidence"), (-c["pattern_idx"]).alias("order"), c["value"].alias("value")))
-    scored = found.select("doc_id", F.filter(scored, lambda c: c["confidence"] > 0).alias("scored"))
+    scored = found.select("doc_id", "text", F.filter(scored, lambda c: c["confidence"] > 0).alias("scored"))
     best = F.filter("scored", lambda c: ~F.exists("scored", lambda o: (o["field"] == c["field"]) & ((o["confidence"] > c["confidence"]) | ((o["confidence"] == c["confidence"]) & (o["order"] > c["order"])))))
-    return scored.select("doc_id", F.explode(best).alias("b")).select("doc_id", "b.field", "b.value", "b.confidence", (-F.col("b.order")).alias("pattern_idx"))
+    return scored.select("doc_id", "text", best.alias("best"))
+
+
+def extract_fields(docs: DataFrame, fields: dict[str, list[str]] | None = None) -> DataFrame:
+    """(doc_id, field, value, confidence, pattern_idx): each field's best value in the text; the earliest pattern wins ties."""
+    rows = _rows(_with_best(docs, fields), "best")
+    return rows.select("doc_id", "field", "value", "confidence", (-F.col("order")).alias("pattern_idx"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -96,26 +127,60 @@ def match_confidence(value: Column, value_pattern: str | None) -> Column:
     return F.least(F.lit(1.0), conf)
 
 
+def _line_structs(text: Column) -> Column:
+    """array<struct<line_idx, line, low>> of the text's lines."""
+    return F.transform(split_lines(text), lambda x, i: F.struct(i.alias("line_idx"), x.alias("line"), _low(x).alias("low")))
+
+
+def _best_match(field: str, labels: list[str], value_patterns: list[str]) -> Column:
+    """struct<field, b: struct<minus (confidence), pattern_idx, line_idx, value_idx, below, value>> of the field's best value in `marked` lines.
+
+    In passes over arrays, each made from the one before, so that no pattern is tried twice."""
+    words = LABEL_WORDS.get(field) if fixed.MATCHER_FIELDS.get(field, [None])[0] == labels else None
+    seen = F.filter("marked", lambda x: _holds(x["low"], words)) if words else F.col("lines")
+
+    def labelled(x: Column) -> Column:
+        def rest(i: int, label: str) -> Column:
+            behind = strip(F.regexp_extract(x["line"], java("^(?s:.*?)(?:" + label + r")((?s:.*))$", NO_CASE), 1))
+            return F.when(x["line"].rlike(java(label, NO_CASE)), F.struct(F.lit(i).alias("pattern_idx"), x["line_idx"].alias("line_idx"), behind.alias("rest")))
+
+        return F.array_compact(F.array(*[rest(i, label) for i, label in enumerate(labels)]))
+
+    def values(h: Column) -> Column:
+        def value(k: int, below: int, text: Column) -> Column:
+            return F.struct(h["pattern_idx"].alias("pattern_idx"), h["line_idx"].alias("line_idx"), F.lit(k).alias("value_idx"), F.lit(below).alias("below"), text.alias("value"))
+
+        own = [value(k, 0, strip(F.regexp_extract(h["rest"], java(v, PLAIN), 1))) for k, v in enumerate(value_patterns)] or [value(0, 0, h["rest"])]
+        next_line = F.when(h["rest"] == "", value(99, 1, strip(F.coalesce(F.get("lines", h["line_idx"] + 1)["line"], F.lit("")))))
+        return F.array_compact(F.array(*own, next_line))
+
+    def judged(c: Column) -> Column:
+        confidence = match_confidence(c["value"], None)
+        for k, v in enumerate(value_patterns):
+            confidence = F.when(c["value_idx"] == k, match_confidence(c["value"], v)).otherwise(confidence)
+        return F.struct((-confidence).alias("minus"), *[c[x].alias(x) for x in ("pattern_idx", "line_idx", "value_idx", "below", "value")])
+
+    found = F.filter(F.flatten(F.transform(F.flatten(F.transform(seen, labelled)), values)), lambda c: c["value"] != "")
+    return F.struct(F.lit(field).alias("field"), F.array_min(F.transform(found, judged)).alias("b"))
+
+
+def _with_matches(rows: DataFrame, fields: dict | None = None, threshold: float = fixed.MATCHER_THRESHOLD) -> DataFrame:
+    """rows (text, ...) with `matched`: array of structs field, value, confidence, pattern_idx, line_idx by labels at lines, one of each field found.
+
+    Only lines that hold a label's end see any label, and of these only those that hold a word of the label see its patterns; templates that aren't
+    built in (without words) see all lines."""
+    own = fields or fixed.MATCHER_FIELDS
+    rows = rows.withColumn("lines", _line_structs(F.col("text")))
+    rows = rows.withColumn("marked", F.filter("lines", lambda x: _holds(x["low"], LABEL_ENDS)))
+    best = [_best_match(field, labels, value_patterns) for field, (labels, value_patterns, _) in own.items() if labels]
+    rows = rows.withColumn("matched", F.filter(F.array(*best), lambda m: -m["b"]["minus"] >= threshold))
+    found = F.transform("matched", lambda m: F.struct(m["field"].alias("field"), m["b"]["value"].alias("value"), (-m["b"]["minus"]).alias("confidence"), m["b"]["pattern_idx"].alias("pattern_idx"), (m["b"]["line_idx"] + m["b"]["below"]).alias("line_idx")))
+    return rows.withColumn("matched", found).drop("marked")
+
+
 def match_lines(docs: DataFrame, fields: dict | None = None, threshold: float = fixed.MATCHER_THRESHOLD) -> DataFrame:
     """(doc_id, field, value, confidence, pattern_idx, line_idx) by labels at lines; the first of equal confidence wins."""
-    cands = []
-    for field, (labels, value_patterns, _) in (fields or fixed.MATCHER_FIELDS).items():
-        for i, label in enumerate(labels):
-            rest = strip(F.regexp_extract("line", java("^(?s:.*?)(?:" + label + r")((?s:.*))$", NO_CASE), 1))
-            hit = F.col("line").rlike(java(label, NO_CASE))
-
-            def cand(value: Column, order: int, pattern: str | None, when: Column, below: int = 0, field=field, i=i) -> Column:
-                return F.when(when & (value != ""), F.struct(F.lit(field).alias("field"), F.lit(i).alias("pattern_idx"), F.lit(order).alias("value_idx"), F.lit(below).alias("below"), value.alias("value"), match_confidence(value, pattern).alias("confidence")))
-
-            if value_patterns:
-                cands += [cand(strip(F.regexp_extract(rest, java(v, PLAIN), 1)), k, v, hit) for k, v in enumerate(value_patterns)]
-            else:
-                cands.append(cand(rest, 0, None, hit))
-            cands.append(cand(strip(F.coalesce("next_line", F.lit(""))), 99, None, hit & (rest == ""), 1))
-    rows = lines_of(docs).select("doc_id", "line_idx", F.explode(F.array_compact(F.array(*cands))).alias("c")).select("doc_id", "line_idx", "c.*")
-    first = F.struct(-F.col("confidence"), "pattern_idx", "line_idx", "value_idx")
-    best = rows.groupBy("doc_id", "field").agg(F.min_by(F.struct("value", "confidence", "pattern_idx", (F.col("line_idx") + F.col("below")).alias("line_idx")), first).alias("b"))
-    return best.select("doc_id", "field", "b.*").where(F.col("confidence") >= threshold)
+    return _rows(_with_matches(docs.select("doc_id", "text"), fields, threshold), "matched")
 
 
 def matched_fields(docs: DataFrame, **options) -> DataFrame:
@@ -153,31 +218,51 @@ def generic_pairs(docs: DataFrame, matched: DataFrame, aliases: DataFrame) -> Da
     return left.groupBy("doc_id", "field").agg(F.max_by("value", "line_idx").alias("value")).withColumn("confidence", F.lit(0.6).cast("double"))
 
 
+def _pairs(lines: Column, strip_marks: bool) -> Column:
+    """array<struct<line_idx, label, field, value>> of an array of lines: those with a colon and something behind it, cut at the first colon."""
+    def pair(line: Column, i: Column) -> Column:
+        at = F.instr(line, ":")
+        label = F.lower(strip(F.substring(line, F.lit(1), at - 1)))
+        return F.struct(i.alias("line_idx"), label.alias("label"), normal_key(label, strip_marks).alias("field"), strip(F.substring(line, at + 1, F.length(line))).alias("value"))
+
+    found = F.transform(lines, lambda line, i: F.when(line.contains(":"), pair(line, i)))
+    return F.filter(F.array_compact(found), lambda p: p["value"] != "")
+
+
+def _entry(field: Column, rank: int, order: Column, tie: Column | int, value: Column, confidence: Column) -> Column:
+    tie = F.lit(tie) if isinstance(tie, int) else tie
+    return F.struct(field.alias("field"), F.lit(rank).alias("rank"), order.cast("double").alias("order"), tie.cast("int").alias("tie"), value.alias("value"), confidence.cast("double").alias("confidence"))
+
+
 def map_fields(docs: DataFrame, aliases: DataFrame | None = None, fields: dict[str, list[str]] | None = None, use_matcher: bool = True, field_names: list[str] | None = None) -> DataFrame:
     """(doc_id, field, value, confidence) by all three ways, merged.
 
     The line matcher and its pairs count 0.6; the whole-text mapper replaces where it is surer; then label lines: the last one
-    whose label isn't its own key overwrites, else what is there stays, else the first one fills in (both at 0.5)."""
+    whose label isn't its own key overwrites, else what is there stays, else the first one fills in (both at 0.5).
+
+    Everything that a document offers for a field becomes an entry (field, rank, order within the rank, value, confidence) of one array in
+    its row; sorted, each field's first entry is its result."""
     own = {k: p for k, p in (fields or FIELDS).items() if field_names is None or k in field_names}
-    second = extract_fields(docs, own).select("doc_id", "field", "value", "confidence", F.lit(2).alias("stage"))
-    both = second
+    rows = _with_best(docs, own)
+    entries = [F.transform("best", lambda b: _entry(b["field"], 1, -b["confidence"], 2, b["value"], b["confidence"]))]
+    half = F.lit(0.5)
     if use_matcher:
-        matched = match_lines(docs)
-        first = matched.select("doc_id", "field", "value")
+        rows = _with_matches(rows)
+        sure = F.lit(0.6)
+        entries.append(F.transform("matched", lambda m: _entry(m["field"], 1, -sure, 0, m["value"], sure)))
         if aliases is not None:
-            first = first.unionByName(generic_pairs(docs, matched, aliases).select("doc_id", "field", "value"))
-        both = first.select("doc_id", "field", "value", F.lit(0.6).cast("double").alias("confidence"), F.lit(1).alias("stage")).unionByName(second)
-    known = both.groupBy("doc_id", "field").agg(F.max_by(F.struct("value", "confidence"), F.struct("confidence", -F.col("stage"))).alias("known"))
-    pairs = label_lines(docs).withColumn("field", normal_key(F.col("label"), strip_marks=False)).where("length(field) > 1")
-    own_key = F.col("label") == F.col("field")
-    pairs = pairs.groupBy("doc_id", "field").agg(
-        F.max_by(F.when(~own_key, F.col("value")), F.when(~own_key, F.col("line_idx"))).alias("last_other"), F.min_by(F.when(own_key, F.col("value")), F.when(own_key, F.col("line_idx"))).alias("first_own"))
-    rows = known.select("doc_id", "field", "known", F.lit(None).cast("string").alias("last_other"), F.lit(None).cast("string").alias("first_own")).unionByName(
-        pairs.select("doc_id", "field", F.lit(None).cast("struct<value:string,confidence:double>").alias("known"), "last_other", "first_own"))
-    one = rows.groupBy("doc_id", "field").agg(F.max("known").alias("known"), F.max("last_other").alias("last_other"), F.max("first_own").alias("first_own"))
-    value = F.coalesce("last_other", "known.value", "first_own")
-    conf = F.when(F.col("last_other").isNotNull(), F.lit(0.5)).otherwise(F.coalesce("known.confidence", F.lit(0.5)))
-    return one.select("doc_id", "field", value.alias("value"), conf.cast("double").alias("confidence"))
+            known = aliases.agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("m")).scalar()
+            rows = rows.withColumn("known", known).withColumn("taken", F.transform("matched", lambda m: m["field"]))
+            rows = rows.withColumn("generic", _pairs(F.transform("lines", lambda x: x["line"]), True))
+            free = F.filter("generic", lambda p: (p["field"] != "") & ~F.array_contains("taken", F.coalesce(F.try_element_at("known", p["field"]), p["field"])))
+            rows = rows.withColumn("generic", F.array_sort(F.transform(free, lambda p: F.struct(p["field"].alias("field"), (-p["line_idx"]).alias("up"), p["value"].alias("value")))))
+            last = F.filter("generic", lambda p, i: (i == 0) | (p["field"] != F.get("generic", i - 1)["field"]))
+            entries.append(F.transform(last, lambda p: _entry(p["field"], 1, -sure, 1, p["value"], sure)))
+    rows = rows.withColumn("pairs", F.filter(_pairs(F.split("text", r"\n", -1), False), lambda p: F.length(p["field"]) > 1))
+    entries.append(F.transform("pairs", lambda p: F.when(p["label"] == p["field"], _entry(p["field"], 2, p["line_idx"], 0, p["value"], half)).otherwise(_entry(p["field"], 0, -p["line_idx"], 0, p["value"], half))))
+    rows = rows.select("doc_id", F.array_sort(F.concat(*[F.coalesce(e, F.array()) for e in entries])).alias("e"))
+    first = F.filter("e", lambda x, i: (i == 0) | (x["field"] != F.get("e", i - 1)["field"]))
+    return _rows(rows.select("doc_id", first.alias("first")), "first").select("doc_id", "field", "value", "confidence")
 
 
 def as_maps(fields: DataFrame) -> DataFrame:

@@ -34,7 +34,9 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def form_docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(FORMS.format(customer="{customer}", nation="{nation}", part="{part}"), **{n: table(spark, d, n) for n in ("customer", "nation", "part")})
+    """The forms, dealt over the cores: a form is a few hundred bytes, but every one goes through some eighty patterns."""
+    docs = spark.sql(FORMS.format(customer="{customer}", nation="{nation}", part="{part}"), **{n: table(spark, d, n) for n in ("customer", "nation", "part")})
+    return docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 def submitted_values(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Import graphs: edges from sources, self loops, hot spots, and cycles by bounded path growth."""
+"""Import graphs: edges from sources, self loops, hot spots, strongly connected components, and cycles inside them."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formlake.functions.scratch import kept
+
 
 def scan_imports(files: DataFrame, package: str) -> DataFrame:
     """(src, dst) of `import a.b` and `from a.b import c` lines in files (path, value), for modules of a package."""
@@ -28,16 +30,71 @@ def in_degree(rows: DataFrame, top: int = 10) -> DataFrame:
     return edges(rows).groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(top)
 
 
+def _trimmed(step: DataFrame) -> DataFrame:
+    """Edges whose ends both have an edge in and an edge out, until no more go: what is left lies on or between cycles."""
+    n = step.count()
+    while n:
+        inner = step.select("src").distinct().join(step.select(F.col("dst").alias("src")).distinct(), "src")
+        step = kept(step.join(inner, "src", "left_semi").join(inner.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
+        before, n = n, step.count()
+        if n == before:
+            break
+    return step
+
+
+def _spread(start: DataFrame, step: DataFrame) -> DataFrame:
+    """(node, colour): each node with the least colour of all nodes that reach it, its own included. start: (node, colour); every round all colours take one step."""
+    now, unsettled = start, True
+    while unsettled:
+        came = now.join(step, now["node"] == step["src"]).select(F.col("dst").alias("node"), "colour")
+        after = kept(now.unionByName(came).groupBy("node").agg(F.min("colour").alias("colour")))
+        unsettled = not after.join(now.withColumnRenamed("colour", "before"), "node").where("colour < before").isEmpty()
+        now = after
+    return now
+
+
+def components(rows: DataFrame) -> DataFrame:
+    """(module, component): the modules on cycles of two or more, with the least module of their strongly connected component.
+
+    Forward and backward colouring: what can't lie on a cycle is trimmed away; then every node takes the least node that reaches it, and within
+    one colour those that reach the colour's own node, against the edges, are its component. Edges inside found components and between colours
+    go, and the rest is coloured anew. A step is a join and an aggregation on module names; each round finds a component in every colour."""
+    step = _trimmed(kept(edges(rows).where("src <> dst")))
+    found = None
+    while not step.isEmpty():
+        nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
+        colour = _spread(nodes.withColumn("colour", F.col("node")), step)
+        inside = step.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2")
+        back = kept(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        # against the edges: a colour's own node has the colour as its mark, all others one that is greater than every name
+        marks = colour.select("node", F.struct((F.col("node") != F.col("colour")).cast("int").alias("far"), "colour").alias("colour"))
+        own = _spread(marks, back).where("colour.far = 0").select(F.col("node").alias("module"), F.col("colour.colour").alias("component"))
+        own = kept(own)
+        found = own if found is None else found.unionByName(own)
+        done = own.select(F.col("module").alias("src"))
+        rest = inside.select("src", "dst").join(done, "src", "left_anti").join(done.withColumnRenamed("src", "dst"), "dst", "left_anti")
+        step = _trimmed(kept(rest.select("src", "dst")))
+    none = rows.sparkSession.createDataFrame([], "module string, component string")
+    if found is None:
+        return none
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return found.join(sizes, "component", "left_semi").select("module", "component")
+
+
 def cycles(rows: DataFrame, longest: int | None = None) -> DataFrame:
-    """Simple cycles of 2 or more modules, each once, from its least module, as cycle array<string>; of any length unless `longest` is given."""
-    step = edges(rows).where("src <> dst")
-    paths = step.select(F.array("src", "dst").alias("path"))
+    """Simple cycles of 2 or more modules, each once, from its least module, as cycle array<string>; of any length unless `longest` is given.
+
+    Paths grow only along edges inside one strongly connected component, and every length starts from the written paths of the one before."""
+    part = components(rows)
+    inside = edges(rows).where("src <> dst").join(part.select(F.col("module").alias("src"), F.col("component").alias("c1")), "src").join(part.select(F.col("module").alias("dst"), F.col("component").alias("c2")), "dst")
+    step = kept(inside.where("c1 = c2").select("src", "dst"))
+    paths = step.where("src < dst").select(F.array("src", "dst").alias("path"))
     found = None
     for length in count(2):
         if longest is not None and length > longest or longest is None and length > 2 and paths.isEmpty():
             return found
         ends = paths.select("path", F.element_at("path", -1).alias("src"))
-        grown = ends.join(step, "src").select("path", "dst")
-        closed = grown.where(F.col("dst") == F.col("path")[0]).where(F.col("path")[0] == F.array_min("path")).select(F.col("path").alias("cycle"))
+        grown = kept(ends.join(step, "src").select("path", "dst"))
+        closed = grown.where(F.col("dst") == F.col("path")[0]).select(F.col("path").alias("cycle"))
         found = closed if found is None else found.unionByName(closed)
         paths = grown.where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))

@@ -5,15 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formlake.functions.scratch import kept
 from formlake.functions.similarity import similarity, strategy
 
 MATCH, PARTIAL, KEY_LEAST = 0.9, 0.6, 0.7
 
 
+#: Letters from rare to frequent; all others count as rarer still.
+_RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate_"
+
+
+def _prefix(text: Column) -> Column:
+    """The rarest of a key's numbered letters: as many as it must share one of with every key that is alike.
+
+    Keys of a and b letters with a ratio of KEY_LEAST or more have KEY_LEAST / 2 * (a + b) letters in common, so the shorter one has 7/13 of the
+    longer one's letters, and of either's letters, in one order for all keys, the first a - 7/13 * a + 1 hold a common one."""
+    letters = F.array_sort(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.struct(F.instr(F.lit(_RARE_FIRST), F.lower(c)).alias("place"), c.alias("c"))))
+    numbered = F.transform(letters, lambda x, i: F.concat(x["c"], (i - F.array_position(letters, x)).cast("string")))
+    share = KEY_LEAST / (2 - KEY_LEAST)
+    return F.slice(numbered, 1, F.floor(F.size(letters) - F.ceil(F.size(letters) * share - 1e-9) + 1).cast("int"))
+
+
+def alike_keys(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """(doc_id, field, key, score) of a document's wanted fields and its keys with a ratio of KEY_LEAST or more.
+
+    Fields and keys of a document meet at equal letters of their prefixes and in the bounds of length; each distinct pair of texts is scored once, however
+    many documents hold it."""
+    fields = wanted.select("doc_id", "field", F.explode(F.array_distinct(_prefix(F.col("field")))).alias("letter"))
+    keys = have.select("doc_id", "key", F.explode(F.array_distinct(_prefix(F.col("key")))).alias("letter"))
+    share = KEY_LEAST / (2 - KEY_LEAST) - 1e-9
+    a, b = F.length("field"), F.length("key")
+    met = fields.join(keys, ["doc_id", "letter"]).where((a >= b * share) & (b >= a * share)).select("doc_id", "field", "key").distinct()
+    pairs = met.select("field", "key").distinct().withColumn("score", similarity(F.lit("ratio"), "field", "key")).where(F.col("score") >= KEY_LEAST)
+    return met.join(pairs, ["field", "key"])
+
+
 def resolve_keys(submitted: DataFrame, extracted: DataFrame, fuzzy: bool = True) -> DataFrame:
     """submitted with key, extracted value and tier: equal keys (1), equal but for case (2, the last of several), alike keys (3), none.
 
     submitted: doc_id, field, submitted. extracted: doc_id, field, value, and ord if several keys differ by case only."""
+    if fuzzy:  # both are read by every tier
+        submitted, extracted = kept(submitted), kept(extracted)
     order = F.col("ord") if "ord" in extracted.columns else F.col("field")
     have = extracted.select("doc_id", F.col("field").alias("key"), F.col("value").alias("extracted"), order.alias("ord"))
     exact = have.select("doc_id", F.col("key").alias("field"), F.col("key").alias("key1"), F.col("extracted").alias("value1"))
@@ -25,7 +57,7 @@ def resolve_keys(submitted: DataFrame, extracted: DataFrame, fuzzy: bool = True)
         return rows
     # only fields without a key yet go through the Python function, against the keys of their own document
     open_ = rows.where("tier is null").select("doc_id", "field").distinct()
-    scored = open_.join(have, "doc_id").withColumn("score", similarity(F.lit("ratio"), "field", "key")).where(F.col("score") >= KEY_LEAST)
+    scored = alike_keys(open_, have.select("doc_id", "key").distinct()).join(have, ["doc_id", "key"])
     best = scored.groupBy("doc_id", "field").agg(F.max_by(F.struct("key", "extracted"), F.struct("score", "key")).alias("three"))
     rows = rows.join(best, ["doc_id", "field"], "left")
     return rows.select(

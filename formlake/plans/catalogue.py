@@ -372,27 +372,42 @@ def line_runs(spark, d):
     return route.line_runs(e.select(doc.alias("doc_id"), y.alias("y"), F.when(y % 50 < 20 + doc % 5, 100).otherwise(0).alias("ink")))
 
 
-_EDGES = "select distinct 'n' || c_nationkey as src, 'n' || (c_custkey % 25) as dst from {customer} where c_custkey % 7 < 2"
+#: Customers that import the customers numbered as their orders are, whole tables: about ten edges a module at every size.
+_EDGES = "select distinct 'c' || o_custkey as src, 'c' || (o_orderkey % (select count(*) from {customer})) as dst from {orders}"
 
 
-@query("with e as (" + _EDGES.format(customer="customer") + ") select dst, count(*) as n from e group by dst order by n desc, dst limit 10")
+@query("with e as (" + _EDGES.format(customer="customer", orders="orders") + ") select dst, count(*) as n from e group by dst order by n desc, dst limit 10")
 def import_hot_spots(spark, d):
-    return graph.in_degree(spark.sql(_EDGES, customer=table(spark, d, "customer")))
+    return graph.in_degree(spark.sql(_EDGES, customer=table(spark, d, "customer"), orders=table(spark, d, "orders")))
 
 
-@query("select distinct src from (" + _EDGES.format(customer="customer") + ") where src = dst")
+@query("select distinct src from (" + _EDGES.format(customer="customer", orders="orders") + ") where src = dst")
 def import_self_loops(spark, d):
-    return graph.self_loops(spark.sql(_EDGES, customer=table(spark, d, "customer")))
+    return graph.self_loops(spark.sql(_EDGES, customer=table(spark, d, "customer"), orders=table(spark, d, "orders")))
+
+
+#: Every order as a module that imports one of the same dozen of order numbers, some of them two: chains, loops, and loops that share modules.
+_LINKS = """select 'o' || o_orderkey as src, 'o' || (o_orderkey - o_orderkey % 12 + (o_orderkey + 1 + o_custkey % 5) % 12) as dst from {orders}
+union select 'o' || o_orderkey, 'o' || (o_orderkey - o_orderkey % 12 + (o_orderkey + 7) % 12) from {orders} where o_orderstatus <> 'O'"""
+
+
+@query("with recursive e as (select distinct src, dst from (" + _LINKS.format(orders="orders") + """) where src <> dst),
+r as (select src as a, dst as z from e union select a, e.dst from r join e on e.src = r.z),
+s as (select x.a, x.z from r x join r y on x.a = y.z and x.z = y.a where x.a <> x.z)
+select a as module, least(a, min(z)) as component from s group by a""")
+def import_components(spark, d):
+    """Strongly connected modules of a graph over all orders."""
+    return graph.components(spark.sql(_LINKS, orders=table(spark, d, "orders")))
 
 
 _FEW = "select distinct 'n' || n_nationkey as src, 'n' || ((n_nationkey * 7 + n_regionkey) % 25) as dst from {nation} union select 'n' || n_nationkey, 'n' || ((n_nationkey + 5) % 25) from {nation}"
 
 
 @query("with recursive e as (select * from (" + _FEW.format(nation="nation") + """) where src <> dst),
-p as (select src as a, dst as z, [src, dst] as path from e union all select a, e.dst, list_append(path, e.dst) from p join e on e.src = p.z where e.dst > a and not list_contains(path, e.dst) and len(path) < 4)
+p as (select src as a, dst as z, [src, dst] as path from e union all select a, e.dst, list_append(path, e.dst) from p join e on e.src = p.z where e.dst > a and not list_contains(path, e.dst))
 select array_to_string(path, '>') as cycle from p join e on e.src = p.z and e.dst = p.a where p.a = list_min(path)""")
 def import_cycles(spark, d):
-    return graph.cycles(spark.sql(_FEW, nation=table(spark, d, "nation")), 4).select(F.array_join("cycle", ">").alias("cycle"))
+    return graph.cycles(spark.sql(_FEW, nation=table(spark, d, "nation"))).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 @query("select distinct o_orderpriority as field, 'default' as strategy from orders")

@@ -104,3 +104,32 @@ def test_import_graph(spark):
     e = graph.scan_imports(src, "app")
     assert {tuple(r) for r in e.collect()} == {("app.a", "app.b"), ("app.a", "app.c"), ("app.b", "app.a"), ("app.c", "app.c")}
     assert [r["cycle"] for r in graph.cycles(e).collect()] == [["app.a", "app.b"]]
+
+
+def brute_components(edges):
+    nodes = {x for e in edges for x in e}
+    reach = {n: set() for n in nodes}
+    for n in nodes:
+        todo = [n]
+        while todo:
+            for a, b in edges:
+                if a == todo[-1] and b not in reach[n]:
+                    reach[n].add(b)
+                    todo.insert(0, b)
+            todo.pop()
+    groups = {n: {m for m in nodes if m in reach[n] and n in reach[m]} | {n} for n in nodes}
+    return {(n, min(g)) for n, g in groups.items() if len(g) > 1}
+
+
+def test_strongly_connected_components(spark):
+    import random
+
+    from formlake.operators import graph
+
+    r = random.Random(6)
+    for n, m in ((14, 22), (10, 0), (12, 40)):
+        edges = sorted({(f"m{r.randrange(n):02}", f"m{r.randrange(n):02}") for _ in range(m)} | {("z", "z"), ("y1", "y2")})
+        df = spark.createDataFrame([*edges, *edges[:3]], "src string, dst string")
+        assert {tuple(x) for x in graph.components(df).collect()} == brute_components(edges)
+    ring = spark.createDataFrame([(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)], "src string, dst string")
+    assert [x["cycle"] for x in graph.cycles(ring).collect()] == [[f"r{i}" for i in range(9)]]

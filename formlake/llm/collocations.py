@@ -130,7 +130,7 @@ class _Shards:
                 yield pa.RecordBatch.from_arrays([keys[cut].view(pa.string()), pa.array(count[cut].astype(np.int64))], names=["key", "a"])
 
 
-def phrase_counts(docs: DataFrame, longest: int = 3, room: int = 8 << 20) -> DataFrame:
+def phrase_counts(docs: DataFrame, longest: int = 3, room: int = 2 << 20) -> DataFrame:
     """(lang, size, phrase, a) of all phrases of 1 to `longest` words of docs (lang, text); phrase: the words with a space between."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text <> ''")
     found = texts.mapInArrow(_Shards(longest, room), "key string, a long")
@@ -144,7 +144,7 @@ def _words(phrase: Column, first: Column | int, n: Column | int) -> Column:
     return F.array_join(F.slice(F.split(phrase, " ", -1), first, n), " ")
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = 10, inside: int = 50, longest: int = 3, room: int = 8 << 20, salts: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, least: int = 10, inside: int = 50, longest: int = 3, room: int = 2 << 20, salts: int = 64) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `top` candidates of each lang by score, count and phrase."""
     counts = Saved(phrase_counts(docs, longest, room).where((F.col("a") >= least) | (F.col("size") == 1))).df
     total = counts.where("size = 1").groupBy("lang").agg(F.sum("a").alias("n"))

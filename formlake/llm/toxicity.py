@@ -8,8 +8,8 @@ A document's decision is that of its most toxic token; a logistic curve turns it
 
 Fit: labels belong to documents, each a bag of its sentences' tokens, so the machine learns from bags: a toxic bag's witness (its token of
 the highest decision) should lie above the margin, a clean bag's highest token below it. Rounds alternate between fitting and
-choosing witnesses; the first witnesses are each bag's least likely token for a clean one of its language (column lang, where docs has
-one). Clean bags' highest tokens of all rounds stay as examples. Landmarks are drawn from the bags: witnesses, highest clean tokens, and others.
+choosing witnesses; the first witnesses are each bag's least likely token for a clean one. Witnesses are learnt with a letter put in at each
+of their places too, so that such spellings lie above the margin. Clean bags' highest tokens of all rounds stay as examples. Landmarks are drawn from the bags: witnesses, highest clean tokens, and others.
 Bags are at most `max_per_class` labelled documents a class (the lowest hashes of doc_id; a documented bound); no token,
 frequency or length is left out of them. The driver sees a token a bag and round.
 
@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -262,7 +263,7 @@ class _Bags:
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
-                yield pd.DataFrame({"bag": part["bag"], "toxic": part["toxic"], "lang": part["lang"], "tokens": [bag_of(t) for t in part["text"]]})
+                yield pd.DataFrame({"bag": part["bag"], "toxic": part["toxic"], "tokens": [bag_of(t) for t in part["text"]]})
 
 
 class _Highest:
@@ -278,27 +279,29 @@ class _Highest:
 
 
 def _unlikely(bags: DataFrame) -> DataFrame:
-    """Each bag's token that is least like a clean one: (toxic, token, decision).
-
-    A token's bags by class are held against the classes' shares in their languages, so that a language's share isn't taken for toxicity."""
-    share = bags.groupBy(F.col("lang").alias("of")).agg(F.avg("toxic").alias("share"))
-    one = bags.select("bag", "toxic", "lang", F.explode("tokens").alias("token"))
-    counts = one.groupBy("token", "lang").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    counts = counts.join(F.broadcast(share), F.col("lang").eqNullSafe(F.col("of")))  # a row a language
-    counts = counts.groupBy("token").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("share")).alias("expect"))
-    clean, expect_clean = F.col("n") - F.col("t"), F.col("n") - F.col("expect")
-    lift = F.log((F.col("t") + 0.5) / (F.col("expect") + 0.5)) - F.log((clean + 0.5) / (expect_clean + 0.5))
-    rated = one.select("bag", "toxic", "token").join(counts.select("token", lift.alias("lift")), "token")
+    """Each bag's token that is least like a clean one: (toxic, token, decision). A token's bags by class are held against the classes' shares."""
+    share = bags.agg(F.avg("toxic")).first()[0]
+    one = bags.select("bag", "toxic", F.explode("tokens").alias("token"))
+    counts = one.groupBy("token").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    expect = F.col("n") * F.lit(share)
+    lift = F.log((F.col("t") + 0.5) / (expect + 0.5)) - F.log((F.col("n") - F.col("t") + 0.5) / (F.col("n") - expect + 0.5))
+    rated = one.join(counts.select("token", lift.alias("lift")), "token")
     top = F.max(F.struct("lift", "token")).alias("top")
     return rated.groupBy("bag", "toxic").agg(top).select("toxic", F.col("top.token").alias("token"), F.col("top.lift").alias("decision"))
 
 
+def inserted(token: str) -> list[str]:
+    """The token with one letter put in: between each two of its characters three of the letters, by token and place."""
+    return [token[:i] + chr(97 + (crc32(f"{token} {i}".encode()) + 9 * k) % 26) + token[i:] for i in range(1, len(token)) for k in range(3)]
+
+
 def _times(tokens: pd.Series) -> dict[str, float]:
     return {t: float(n) for t, n in sorted(tokens.dropna().value_counts().items(), key=lambda x: (-x[1], x[0]))}
 
 
-def train(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, max_per_class: int = 6000, landmarks: int = 384, rounds: int = 4) -> ToxicityModel:
-    """Fits the model to labels.toxic on `docs` (doc_id, text). trainable: which doc_ids may be learnt from."""
+def train(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, max_per_class: int = 6000, landmarks: int = 384, rounds: int = 4, gapped: float = 1.0) -> ToxicityModel:
+    """Fits the model to labels.toxic on `docs` (doc_id, text). trainable: which doc_ids may be learnt from. gapped: what a witness's spellings
+    with a letter put in weigh together, the witness itself 1."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     if trainable is not None:
         marked = marked.where(trainable)
@@ -307,10 +310,9 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, m
         return ToxicityModel(np.zeros(LETTERS**3), 0.0, constant=float(1 in counts))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = [marked.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(max_per_class) for k in (0, 1)]
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    sample = docs.select("doc_id", "text", lang.cast("string").alias("lang")).join(chosen[0].union(chosen[1]), "doc_id")
-    sample = sample.select(F.monotonically_increasing_id().alias("bag"), "text", "toxic", "lang")
-    bags = Saved(sample.mapInPandas(_Bags(), "bag long, toxic int, lang string, tokens array<string>"))
+    sample = docs.select("doc_id", "text").join(chosen[0].union(chosen[1]), "doc_id")
+    sample = sample.select(F.monotonically_increasing_id().alias("bag"), "text", "toxic")
+    bags = Saved(sample.mapInPandas(_Bags(), "bag long, toxic int, tokens array<string>"))
 
     found = _unlikely(bags.df).toPandas()  # a row a bag
     others = bags.df.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -327,7 +329,8 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, m
         parts = ((firm, landmarks // 2), (negative, landmarks // 4), (common, landmarks // 8), (some, landmarks // 8))
         marks = list(dict.fromkeys(t for tokens, n in parts for t in list(tokens)[:n]))
         examples = {t: 1.0 for t in (*common, *some) if t not in positive} | negative
-        model = ToxicityModel(*fit_tokens(positive, examples, marks))
+        spelt = {v: n * gapped / len(own) for t, n in firm.items() for own in [inserted(t)] for v in own if v not in examples}
+        model = ToxicityModel(*fit_tokens(spelt | positive, examples, marks))
         before = set(positive)
         found = bags.df.mapInPandas(_Highest(model), "toxic int, token string, decision double").toPandas()  # a row a bag
         if set(found.loc[found["toxic"] == 1, "token"].dropna()) == before:

@@ -4,17 +4,37 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formlake.functions.scratch import kept
 
 
-def scan_imports(files: DataFrame, package: str) -> DataFrame:
-    """(src, dst) of `import a.b` and `from a.b import c` lines in files (path, value), for modules of a package."""
-    module = F.regexp_replace(F.regexp_replace(F.regexp_extract("path", rf"({package}/.*)\.py$", 1), "/__init__$", ""), "/", ".")
-    found = F.regexp_extract_all("value", F.lit(rf"(?m)^\s*(?:from|import)\s+({package}[\w.]*)"), F.lit(1))
-    return files.select(module.alias("src"), F.explode(found).alias("dst")).where("src <> ''").distinct()
+def scan_imports(files: DataFrame, package: str, proper: bool = False) -> DataFrame:
+    """(src, dst) of the import statements at the start of lines in files (path, value), for modules below a package's folder.
+
+    `import a.b as c, d` counts each name, `from a.b import c` the module a.b; names count if they begin with the package's.
+    Relative imports climb by their dots: surveyed, from the module itself (`from .b import c` in p.a is p.a.b), and `__init__` is a module's
+    name like any other; proper: from the module's package, as Python does, with `__init__` standing for its package. Dots that
+    lead out of the package give no edge. Lines within strings aren't told from statements. Null texts and other paths have no edges."""
+    own = F.regexp_extract("path", rf"(?:^|/)({package}/.*)\.py$", 1)
+    parts = F.split(own, "/")
+    named = F.regexp_extract_all("value", F.lit(r"(?m)^[ \t]*import[ \t]+([^\n\r#;]+)"), F.lit(1))
+    names = F.transform(F.flatten(F.transform(named, lambda x: F.split(x, ","))), lambda x: F.regexp_extract(x, r"^\s*([\w.]+)", 1))
+    sources = F.regexp_extract_all("value", F.lit(r"(?m)^[ \t]*from(?:[ \t]+|(?=\.))(\.+[ \t]*[\w.]*?|[\w.]+)[ \t]*\bimport\b"), F.lit(1))
+
+    def target(x: Column) -> Column:
+        module = F.regexp_extract(x, r"([\w][\w.]*)$", 1)
+        level = F.length(F.regexp_extract(x, r"^(\.*)", 1))
+        up = F.size("parts") - level + (0 if proper else 1)  # how many parts stay, the package's own folder among them
+        base = F.concat(F.slice("parts", 1, F.greatest(up, F.lit(1))), F.when(module == "", F.array().cast("array<string>")).otherwise(F.array(module)))
+        inside = up >= (1 if proper else 2)
+        return F.when(module.startswith(package), module).when((level > 0) & inside, F.array_join(base, "."))
+
+    rows = files.select(parts.alias("parts"), names.alias("names"), sources.alias("sources")).where("parts[0] <> ''")
+    src = F.array_join("parts", ".")
+    found = F.concat(F.filter("names", lambda x: x.startswith(package)), F.array_compact(F.transform("sources", target)))
+    return rows.select((F.regexp_replace(src, r"\.__init__$", "") if proper else src).alias("src"), F.explode(found).alias("dst")).distinct()
 
 
 def edges(rows: DataFrame) -> DataFrame:

@@ -29,9 +29,11 @@ def engine_confidence(engine: Column, tesseract: Column) -> Column:
 
 
 def needs_retry(text: Column, engine: Column, mode: str = "auto", least: int = 40) -> Column:
-    """Whether short text calls for the hand-writing engine."""
+    """Whether the hand-writing engine reads a page too: never ("off"), for short text ("auto"), or on every page that it hasn't read yet ("always")."""
     if mode == "off":
         return F.lit(False)
+    if mode == "always":
+        return engine != "handwritten"
     return (F.length(strip(F.coalesce(text, F.lit("")))) < least) & (engine != "handwritten")
 
 

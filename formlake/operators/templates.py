@@ -36,8 +36,9 @@ def add(templates: DataFrame, registry: str, name: str, patterns: list[str], val
     return latest(templates.unionByName(row))
 
 
-def latest(templates: DataFrame) -> DataFrame:
-    """Of each registry and name the row of the highest version."""
+def latest(templates: DataFrame, as_of: int | None = None) -> DataFrame:
+    """Of each registry and name the row of the highest version, or of the highest up to as_of."""
+    templates = templates if as_of is None else templates.where(F.col("version") <= as_of)
     return templates.groupBy("registry", "name").agg(F.max_by(F.struct(*[F.col(c) for c in templates.columns]), "version").alias("t")).select("t.*")
 
 
@@ -81,6 +82,45 @@ def load(templates: DataFrame, path: str) -> DataFrame:
     return latest(templates.unionByName(found.withColumn("version", F.col("version") + 1_000_000)))
 
 
+def fields(templates: DataFrame, registry: str = "matcher", most: int = 2000) -> dict[str, tuple]:
+    """The latest templates as the matchers take them: name -> (patterns, value patterns, synonyms, threshold), in order of name.
+
+    They become part of the plan, so their number is bounded: with more than `most` this is an error."""
+    rows = latest(templates.where(F.col("registry") == registry)).orderBy("name").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates")
+    return {r["name"]: (r["patterns"], r["value_patterns"] or [], r["synonyms"] or [], r["threshold"]) for r in rows}
+
+
+def match(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """match_lines of docs (doc_id, text) by the line matcher's templates as they stand in the table, each with its own threshold.
+
+    Added, learnt and loaded templates count like the built-in ones; one without patterns finds nothing; an empty table gives no rows."""
+    from formlake.operators.extract import match_lines
+
+    own = {k: v for k, v in fields(templates).items() if v[0]}
+    if not own:
+        return match_lines(docs).limit(0)
+    found = match_lines(docs, {k: v[:3] for k, v in own.items()}, 0.0)
+    least = F.lit(None).cast("double")
+    for k, v in own.items():
+        least = F.when(F.col("field") == k, F.lit(float(v[3]))).otherwise(least)
+    return found.where(F.col("confidence") >= least)
+
+
+def synonym_hits(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """(registry, name, n_docs): in how many texts a template's synonym stands, in small letters; templates found nowhere have 0.
+
+    The templates go along as one array of the plan; every text is read once and yields a row a template found."""
+    terms = F.struct("registry", "name", F.transform("synonyms", lambda s: F.lower(s)).alias("synonyms"))
+    array = templates.agg(F.collect_list(terms).alias("t")).scalar()
+    rows = docs.select(F.lower("text").alias("low"), array.alias("t"))
+    hit = F.filter("t", lambda t: F.exists(t["synonyms"], lambda s: F.col("low").contains(s)))
+    counts = rows.select(F.inline(hit)).groupBy("registry", "name").agg(F.count("*").alias("n"))
+    named = templates.select("registry", "name")
+    return named.join(counts, ["registry", "name"], "left").select("registry", "name", F.coalesce("n", F.lit(0)).alias("n_docs"))
+
+
 def available(text: Column, field: str, patterns: list[str], synonyms: list[str]) -> Column:
     """Whether any pattern hits the lower-cased text, or any synonym stands in it."""
     low = F.lower(text)

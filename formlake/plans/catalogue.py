@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +43,12 @@ def form_docs(spark: SparkSession, d: str) -> DataFrame:
 
 def submitted_values(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, field, submitted): exact, in other case, under another key, and under a key that no document has."""
-    docs = extract.extract_fields(form_docs(spark, d), {k: extract.FIELDS[k] for k in ("email", "pan_number", "date_of_birth")})
+    docs = extract.extract_fields(form_docs(spark, d), _PLAIN_FIELDS)
     kind = F.col("doc_id") % 5
     field = F.when(kind == 3, F.upper("field")).when(kind == 4, F.concat(F.lit("zz_"), F.col("field"))).otherwise(F.col("field"))
     return docs.select("doc_id", field.alias("field"), F.col("value").alias("submitted"))
 
 
-EXTRACTED = ["email", "pan_number", "date_of_birth"]
 QUERIES, SQL = {}, {}
 
 
@@ -61,30 +62,6 @@ def query(sql: str | None = None):
     return add
 
 
-_FIELD_SQL = {
-    "email": r"(?im)e?-?mail\s*:?\s*([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})",
-    "pan_number": r"(?im)pan\s*(?:no\.?|number)?\s*:?\s*([A-Z]{5}\d{4}[A-Z])",
-    "date_of_birth": r"(?im)(?:date\s+of\s+)?birth\s*:?\s*(\d{1,2}[\-/\.]\d{1,2}[\-/\.]\d{2,4})",
-    "zip_code": r"(?im)(?:zip|postal|pin)\s*(?:code)?\s*:?\s*(\d{6})",
-}
-
-
-def _values_sql(source: str, fields: dict[str, str]) -> str:
-    one = " union all ".join(f"select doc_id, '{k}' as field, regexp_extract(text, '{p}', 1) as value from {source}" for k, p in fields.items())
-    return f"select doc_id, field, trim(regexp_replace(value, '\\s+', ' ', 'g'), ': ') as value from ({one}) where value <> ''"
-
-
-def _confidence_sql(values: str) -> str:
-    return f"""select doc_id, field, value, round(least(1.0::double, greatest(0.0::double, 0.7::double + case when length(value) > 2 then 0.1::double else 0 end + case when length(value) > 5 then 0.1::double else 0 end
-      + case when regexp_matches(value, '[^\\w\\s@.\\-+()]') then 0 else 0.1::double end + case when field = 'email' then 0.1::double else 0 end)), 6) as confidence from ({values})"""
-
-
-@query(f"with {FORMS_CTE} {_confidence_sql(_values_sql('forms', {k: _FIELD_SQL[k] for k in EXTRACTED}))}")
-def field_values_forms(spark, d):
-    found = extract.extract_fields(form_docs(spark, d), {k: extract.FIELDS[k] for k in EXTRACTED})
-    return found.select("doc_id", "field", "value", F.round("confidence", 6).alias("confidence"))
-
-
 #: Fields whose patterns have no look-around, which DuckDB's expressions lack.
 _PLAIN_FIELDS = {k: p for k, p in extract.FIELDS.items() if k not in ("address", "phone")}
 
@@ -99,6 +76,15 @@ def _best_sql(source: str, fields: dict[str, list[str]]) -> str:
   best as (select *, row_number() over (partition by doc_id, field order by confidence desc, idx) as r from conf)"""
 
 
+_FOUND = "select doc_id, field, value, round(confidence, 6) as confidence from best where r = 1"
+
+
+@query(f"with {FORMS_CTE}, {_best_sql('forms', _PLAIN_FIELDS)} {_FOUND}")
+def field_values_forms(spark, d):
+    found = extract.extract_fields(form_docs(spark, d), _PLAIN_FIELDS)
+    return found.select("doc_id", "field", "value", F.round("confidence", 6).alias("confidence"))
+
+
 @query(f"with {_best_sql('documents', _PLAIN_FIELDS)} select field, count(*) as n, round(avg(confidence), 6) as mean_confidence from best where r = 1 group by field")
 def field_summary_documents(spark, d):
     return extract.summary(extract.extract_fields(table(spark, d, "documents"), _PLAIN_FIELDS))
@@ -115,14 +101,21 @@ def field_values_all(spark, d):
     return extract.extract_fields(table(spark, d, "documents"))
 
 
-@query(f"""with {FORMS_CTE}, low as (select doc_id, lower(text) as t from forms)
-select doc_id, field from (
-  select doc_id, 'email' as field from low where regexp_matches(t, '(?im)e?-?mail\\s*:?\\s*([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}})') or contains(t, 'e_mail') or contains(t, 'email_address')
-  union all select doc_id, 'pan_number' from low where regexp_matches(t, '(?im)pan\\s*(?:no\\.?|number)?\\s*:?\\s*([A-Z]{{5}}\\d{{4}}[A-Z])') or contains(t, 'pan')
-  union all select doc_id, 'father_name' from low where regexp_matches(t, '(?im)father''?s?\\s+name\\s*:?\\s*([^\\n]+)') or regexp_matches(t, '(?im)father\\s*:?\\s*([^\\n]+)') or contains(t, 'father') or contains(t, 'fathers_name'))""")
+_PLAIN_TEMPLATES = {k: fixed.MAPPER_FIELDS[k] for k in _PLAIN_FIELDS}
+
+
+def _available_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    one = []
+    for k, (patterns, synonyms) in _PLAIN_TEMPLATES.items():
+        tests = [f"regexp_matches(t, {quoted('(?im)' + p)})" for p in patterns] + [f"contains(t, {quoted(w.lower())})" for w in synonyms]
+        one.append(f"select doc_id, '{k}' as field from low where " + " or ".join(tests))
+    return " union all ".join(one)
+
+
+@query(f"with {FORMS_CTE}, low as (select doc_id, lower(text) as t from forms) {_available_sql()}")
 def available_fields_forms(spark, d):
-    own = {k: fixed.MAPPER_FIELDS[k] for k in ("email", "pan_number", "father_name")}
-    return extract.available_fields(form_docs(spark, d), own)
+    return extract.available_fields(form_docs(spark, d), _PLAIN_TEMPLATES)
 
 
 _LABELS = """pairs as (select doc_id, ord as line_idx, lower(trim(substr(line, 1, instr(line, ':') - 1))) as label, trim(substr(line, instr(line, ':') + 1)) as value
@@ -153,11 +146,39 @@ def map_fields_forms(spark, d):
     return extract.map_fields(form_docs(spark, d), aliases).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("select registry, name, n_patterns, n_value_patterns, n_synonyms, required, n_templates from (values " + ", ".join(
-    [f"('mapper', '{k}', {len(p)}, 0, {len(s)}, false, {len(fixed.MAPPER_FIELDS)})" for k, (p, s) in fixed.MAPPER_FIELDS.items()]
-    + [f"('matcher', '{k}', {len(p)}, {len(v)}, {len(s)}, false, {len(fixed.MATCHER_FIELDS)})" for k, (p, v, s) in fixed.MATCHER_FIELDS.items()]) + ") t(registry, name, n_patterns, n_value_patterns, n_synonyms, required, n_templates)")
+def _all_texts(spark, d) -> DataFrame:
+    return form_docs(spark, d).unionByName(table(spark, d, "documents").select((F.col("doc_id") + 10000000).alias("doc_id"), "text"))
+
+
+_TEMPLATES = [("mapper", k, p, [], s) for k, (p, s) in fixed.MAPPER_FIELDS.items()] + [("matcher", k, p, v, s) for k, (p, v, s) in fixed.MATCHER_FIELDS.items()]
+_TEMPLATES_SQL = "(values " + ", ".join(
+    f"('{r}', '{k}', {len(p)}, {len(v)}, {len(s)}, [" + ", ".join("'" + x.lower().replace("'", "''") + "'" for x in s) + "]::varchar[])" for r, k, p, v, s in _TEMPLATES
+) + ") t(registry, name, n_patterns, n_value_patterns, n_synonyms, synonyms)"
+
+
+@query(f"""with {FORMS_CTE}, low as (select lower(text) as x from forms union all select lower(text) from documents)
+select registry, name, n_patterns, n_value_patterns, n_synonyms, false as required, count(*) over (partition by registry) as n_templates,
+ (select count(*) from low where len(list_filter(t.synonyms, lambda s: contains(x, s))) > 0) as n_docs from {_TEMPLATES_SQL}""")
 def template_schema(spark, d):
-    return templates.schema_export(templates.defaults(spark))
+    """The templates, and in how many forms and documents a synonym of each stands."""
+    own = templates.defaults(spark)
+    return templates.schema_export(own).join(templates.synonym_hits(_all_texts(spark, d), own), ["registry", "name"])
+
+
+@query(f"""with {FORMS_CTE}, docs as (select doc_id, text from forms union all select doc_id + 10000000, text from documents),
+l as (select doc_id, string_split(text, chr(10)) as ls from docs), x as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) - 1 as i from l),
+f as (select doc_id, i, 'father_name' as field, 0.5::double as c, trim(regexp_extract(line, '(?i)^\\s*father''s\\s+name\\s*:\\s*(.*)$', 1)) as value from x
+  union all select doc_id, i, 'mail_user', 0.8::double, regexp_extract(line, '(?i)^\\s*email\\s*:\\s*.*?(user[0-9]+)@', 1) from x),
+s as (select doc_id, i, field, value, c + case when length(value) > 2 then 0.1 else 0 end + case when regexp_matches(value, '^[^\\w\\s]+$') then 0 else 0.1 end as confidence from f where value <> ''),
+b as (select *, row_number() over (partition by doc_id, field order by confidence desc, i) as r from s)
+select doc_id, field, value, cast(i as integer) as line_idx, round(least(1.0::double, confidence), 6)::double as confidence from b where r = 1""")
+def match_lines_learnt(spark, d):
+    """Forms and documents by a table of templates of which one was added, added anew as a second version, and one learnt from a pattern."""
+    own = templates.defaults(spark).where("name = ''")
+    own = templates.add(own, "matcher", "mail_user", [r"(?:^|\n)\s*e-post\s*[:]\s*"], [r"(user)"], version=1)
+    own = templates.add(own, "matcher", "mail_user", [r"(?:^|\n)\s*email\s*[:]\s*"], [r"(user[0-9]+)"], version=2)
+    own = templates.learn(own, "father_name", r"(?:^|\n)\s*father's\s+name\s*[:]\s*")
+    return templates.match(_all_texts(spark, d), own).select("doc_id", "field", "value", "line_idx", F.round("confidence", 6).alias("confidence"))
 
 
 def _type_sql() -> str:
@@ -192,10 +213,13 @@ def classify_with_shape(spark, d):
     return rows.select("doc_id", kind.alias("k")).select("doc_id", "k.doc_type", F.round("k.confidence", 6).alias("confidence"))
 
 
-@query("select * from (values " + ", ".join(f"('{k}', {i}, '{f}')" for k, own in fixed.RECOMMENDED.items() for i, f in enumerate(own)) + ") t(doc_type, ord, field)")
+@query(f"""with {FORMS_CTE}, low as (select doc_id, lower(text) as t from forms union all select doc_id + 10000000, lower(text) from documents), s as ({_type_sql()}),
+b as (select *, row_number() over (partition by doc_id order by conf desc, ord) as r from s), k as (select doc_id, case when conf >= least then kind else 'generic' end as doc_type from b where r = 1)
+select doc_id, doc_type, n.ord, field from k join (values """ + ", ".join(f"('{k}', {i}, '{f}')" for k, own in fixed.RECOMMENDED.items() for i, f in enumerate(own)) + ") n(kind, ord, field) on doc_type = n.kind")
 def recommended_fields(spark, d):
-    kinds = spark.createDataFrame([(k,) for k in [*fixed.DOCUMENT_TYPES, "generic"]], "doc_type string")
-    return kinds.select("doc_type", F.posexplode(classify.recommended_fields(F.col("doc_type"))).alias("ord", "field"))
+    """What fields each form and document should have by its own type."""
+    kinds = _all_texts(spark, d).select("doc_id", classify.classify_text(F.col("text"))["doc_type"].alias("doc_type"))
+    return kinds.select("doc_id", "doc_type", F.posexplode(classify.recommended_fields(F.col("doc_type"))).alias("ord", "field"))
 
 
 @query(f"""with {FORMS_CTE}, docs as (select doc_id, text from forms union all select doc_id + 10000000, text from documents), low as (select doc_id, lower(text) as t from docs)
@@ -236,14 +260,14 @@ def validate_values(spark, d):
     return rows.select("doc_id", "field", "value", F.when(F.col("field") == "dob", validate.iso_date(F.col("value"))).alias("iso"), validate.error(F.col("field"), F.col("value")).alias("error"))
 
 
-_SUBMITTED = f"""have as (select doc_id, field, value from ({_values_sql('forms', {k: _FIELD_SQL[k] for k in EXTRACTED})})),
+_SUBMITTED = f"""{_best_sql('forms', _PLAIN_FIELDS)}, have as (select doc_id, field, value from best where r = 1),
   sub as (select doc_id, case doc_id % 5 when 3 then upper(field) when 4 then 'zz_' || field else field end as field, value as submitted from have),
   res as (select s.doc_id, s.field, s.submitted, h.value as extracted, case when h.value is null then 0.0::double else 1.0::double end as similarity,
     case when h.value is null then 'not_found' else 'match' end as status from sub s left join have h on h.doc_id = s.doc_id and (h.field = lower(s.field)))"""
 
 
 def _verified(spark, d) -> DataFrame:
-    have = extract.extract_fields(form_docs(spark, d), {k: extract.FIELDS[k] for k in EXTRACTED})
+    have = extract.extract_fields(form_docs(spark, d), _PLAIN_FIELDS)
     return verify.verify(submitted_values(spark, d), have.select("doc_id", "field", "value"), fuzzy=False)
 
 
@@ -266,7 +290,7 @@ def verify_counts(spark, d):
 @query()
 def verify_fuzzy(spark, d):
     """Names with swapped words and keys alike but for a prefix (no SQL: ratios of common subsequences)."""
-    have = extract.extract_fields(form_docs(spark, d), {k: extract.FIELDS[k] for k in (*EXTRACTED, "name")}).select("doc_id", "field", "value")
+    have = extract.extract_fields(form_docs(spark, d)).select("doc_id", "field", "value")
     words = F.split("value", " ")
     sent = have.select("doc_id", F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit("my_"), F.col("field"))).otherwise(F.col("field")).alias("field"), F.array_join(F.reverse(words), " ").alias("submitted"))
     return verify.verify(sent, have)
@@ -299,19 +323,24 @@ def field_confidence(spark, d):
     return rows.select(F.col("event_id").alias("doc_id"), F.round(metrics.field_confidence(F.col("event_type"), (F.col("event_id") % 100).cast("double") / 100, F.length("event_type")), 6).alias("confidence"))
 
 
-@query(f"""with {FORMS_CTE}, v as ({_confidence_sql(_values_sql('forms', {k: _FIELD_SQL[k] for k in EXTRACTED}))})
-select doc_id, field as form_field, value, confidence, case when confidence >= 0.8 then 'high' when confidence >= 0.6 then 'medium' else 'low' end as tier from v""")
+def _filled_sql() -> str:
+    key = lambda x: re.sub(r"[\\s_-]", "_", x.lower())
+    names = ", ".join(f"('{k}', {i}, '{key(x)}')" for k, own in fixed.FORM_FIELDS.items() for i, x in enumerate(own))
+    return f"""{_best_sql('forms', _PLAIN_FIELDS)}, v as ({_FOUND}),
+  f as (select *, row_number() over (partition by doc_id, form_field order by ord, field) as place from v join (values {names}) n(form_field, ord, key) on n.key = v.field)"""
+
+
+@query(f"""with {FORMS_CTE}, {_filled_sql()} select doc_id, form_field, value, confidence, case when confidence >= 0.8 then 'high' when confidence >= 0.6 then 'medium' else 'low' end as tier
+from f where place = 1""")
 def autofill(spark, d):
-    found = extract.extract_fields(form_docs(spark, d), {k: extract.FIELDS[k] for k in EXTRACTED})
+    found = extract.extract_fields(form_docs(spark, d), _PLAIN_FIELDS)
     filled = forms.fill(found.withColumn("confidence", F.round("confidence", 6)), forms.form_map(spark))
     return filled.select("doc_id", "form_field", "value", "confidence", "tier")
 
 
-@query(f"""with {FORMS_CTE}, v as ({_values_sql('forms', {k: _FIELD_SQL[k] for k in EXTRACTED})})
-select doc_id, max(value) filter (field = 'email') as email, max(value) filter (field = 'pan_number') as pan_number, max(value) filter (field = 'date_of_birth') as date_of_birth from v group by doc_id""")
+@query(f"with {FORMS_CTE}, {_filled_sql()} select doc_id, " + ", ".join(f"max(value) filter (form_field = '{k}') as {k}" for k in fixed.FORM_FIELDS) + " from f where place = 1 group by doc_id")
 def autofill_wide(spark, d):
-    found = extract.extract_fields(form_docs(spark, d), {k: extract.FIELDS[k] for k in EXTRACTED})
-    return forms.fill_wide(found, forms.form_map(spark)).select("doc_id", *EXTRACTED)
+    return forms.fill_wide(extract.extract_fields(form_docs(spark, d), _PLAIN_FIELDS), forms.form_map(spark))
 
 
 @query("select distinct p_type as key, array_to_string(list_transform(string_split(replace(p_type, '_', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') as title from part")
@@ -372,6 +401,19 @@ def line_runs(spark, d):
     return route.line_runs(e.select(doc.alias("doc_id"), y.alias("y"), F.when(y % 50 < 20 + doc % 5, 100).otherwise(0).alias("ink")))
 
 
+#: Customers as modules whose source imports in every form: names in a list, relative with one to three dots, indented, in a comment.
+_SOURCES = """select concat('/src/app/g', c_custkey % 7, '/', case when c_custkey % 50 = 0 then '__init__' else concat('c', c_custkey) end, '.py') as path,
+ concat_ws(chr(10), concat('import os, app.g', (c_custkey + 1) % 7, '.c', c_custkey + 1, ' as z'), '# import app.none', 'from . import a', concat('from .util', c_custkey % 3, ' import x, y'),
+  'from ..shared.deep import s', 'from ...far import t', concat('    from app.core', c_nationkey, ' import (q)'), 'from os import path') as value from {customer}"""
+
+
+@query("""with m as (select concat('app.g', c_custkey % 7, '.', case when c_custkey % 50 = 0 then '__init__' else concat('c', c_custkey) end) as src, c_custkey as k, c_nationkey as n from customer)
+select distinct src, unnest([concat('app.g', (k + 1) % 7, '.c', k + 1), src, concat(src, '.util', k % 3), concat('app.g', k % 7, '.shared.deep'), concat('app.core', n)]) as dst from m""")
+def import_scan(spark, d):
+    """Import edges of a source text a customer, relative ones as surveyed."""
+    return graph.scan_imports(spark.sql(_SOURCES, customer=table(spark, d, "customer")), "app")
+
+
 #: Customers that import the customers numbered as their orders are, whole tables: about ten edges a module at every size.
 _EDGES = "select distinct 'c' || o_custkey as src, 'c' || (o_orderkey % (select count(*) from {customer})) as dst from {orders}"
 

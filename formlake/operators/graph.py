@@ -101,6 +101,32 @@ def components(rows: DataFrame) -> DataFrame:
     return found.join(sizes, "component", "left_semi").select("module", "component")
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """(node, root): each node of the undirected links (a, b) with the least node connected to it, itself included.
+
+    Large-star and small-star steps by turns: neighbours greater than a node, then those less, hang on the least node around it, until
+    every node hangs on its root. Nodes of any type that can be ordered; the rounds grow with the logarithm of the longest path. Links of a node with itself
+    don't make it one; no links give no rows."""
+
+    def star(both: DataFrame) -> DataFrame:
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        return both.join(least, "a").select("a", "b", F.least("a", "m").alias("m"))
+
+    def state(step: DataFrame):
+        return step.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+
+    step = kept(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, before = state(step), None
+    while now != before:
+        before = now
+        large = star(step.unionByName(step.select(F.col("b").alias("a"), F.col("a").alias("b")))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = star(large.where("a <> b").select("a", "b").distinct())
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.a", "l.b")
+        step = kept(small.where("a <> b").distinct())
+        now = state(step)
+    return step.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(step.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
 def cycles(rows: DataFrame, longest: int | None = None) -> DataFrame:
     """Simple cycles of 2 or more modules, each once, from its least module, as cycle array<string>; of any length unless `longest` is given.
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
@@ -191,41 +191,23 @@ def gaps(g: np.ndarray) -> tuple[float, float, bool]:
     return out[0][0], out[1][0], out[0][1]
 
 
-def regions(on: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(x, y, w, h) of connected areas, by joining runs of neighbouring rows."""
-    boxes, parent, before = [], [], []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for y, row in enumerate(on):
-        edge = np.flatnonzero(np.diff(np.r_[0, row.astype(np.int8), 0]))
-        now = []
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            own = len(boxes)
-            boxes.append([a, y, b, y + 1])
-            parent.append(own)
-            for x0, x1, k in before:
-                if x0 <= b and a <= x1:
-                    parent[root(k)] = root(own)
-            now.append((a, b, own))
-        before = now
-    out: dict[int, list[int]] = {}
-    for i, box in enumerate(boxes):
-        o = out.setdefault(root(i), list(box))
-        o[:] = [min(o[0], box[0]), min(o[1], box[1]), max(o[2], box[2]), max(o[3], box[3])]
-    return [(x0, y0, x1 - x0, y1 - y0) for x0, y0, x1, y1 in out.values()]
-
-
-def tables(img: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Boxes of at least 50 x 50 that ruled lines enclose."""
-    dark = 255 - binarise(grey(img))
-    h, w = dark.shape
-    across, down = max(1, w // 15), max(1, h // 15)
-    lines = np.maximum(dilate(erode(dark, 1, across), 1, across), dilate(erode(dark, down, 1), down, 1))
-    return sorted((b for b in regions(dilate(lines, 3, 3) > 0) if b[2] >= 50 and b[3] >= 50), key=lambda b: (b[1], b[0]))
+def _runs(image: pd.DataFrame) -> pd.Series:
+    out = []
+    for h, w, c, data in zip(image["height"], image["width"], image["nChannels"], image["data"], strict=True):
+        on, found = binarise(grey(pixels(h, w, c, data))) == 0, []
+        for turned in (False, True):
+            edge = np.diff(np.pad((on.T if turned else on).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            at, start, end = *np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+            sides = (at, start, at + 1, end) if turned else (start, at, end, at + 1)
+            found += [{"x1": x1, "y1": y1, "x2": x2, "y2": y2} for x1, y1, x2, y2 in np.stack(sides, axis=1).tolist()]
+        out.append(found)
+    return pd.Series(out)
+
+
+def ink_runs(images: DataFrame) -> DataFrame:
+    """(doc_id, x1, y1, x2, y2) of all runs of dark points across (height 1) and down (width 1) in images (doc_id, image), for `layout`."""
+    run = F.pandas_udf(_runs, "array<struct<x1:long,y1:long,x2:long,y2:long>>")
+    return images.select("doc_id", F.explode(run("image")).alias("r")).select("doc_id", "r.*")
 
 
 def measure(image: pd.DataFrame) -> pd.DataFrame:

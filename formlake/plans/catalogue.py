@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions import fixed, text, validate
 from formlake.functions.similarity import strategy
-from formlake.operators import classify, extract, forms, graph, metrics, route, templates, verify
+from formlake.operators import classify, extract, forms, graph, layout, metrics, route, templates, verify
 from formlake.sources import files
 
 #: Customers rendered as label: value forms; the same text in both engines.
@@ -452,6 +452,33 @@ def import_cycles(spark, d):
     return graph.cycles(spark.sql(_FEW, nation=table(spark, d, "nation"))).select(F.array_join("cycle", ">").alias("cycle"))
 
 
+def _regions_sql(boxes: str) -> str:
+    """Regions of boxes b(doc_id, x1, y1, x2, y2, n) by reachability among equal boxes' representatives."""
+    return f"""with recursive b as (select row_number() over (order by doc_id, y1, x1, y2, x2) as i, * from (select doc_id, x1, y1, x2, y2, count(*) as n from ({boxes}) group by all)),
+l as (select p.i as a, q.i as z from b p join b q on p.doc_id = q.doc_id and p.x1 <= q.x2 and q.x1 <= p.x2 and p.y1 <= q.y2 and q.y1 <= p.y2),
+r as (select a, z from l union select r.a, l.z from r join l on r.z = l.a), g as (select a, min(z) as root from r group by a)
+select doc_id, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2, sum(n)::bigint as n from b join g on g.a = b.i group by doc_id, root"""
+
+
+#: A page for each order, with a box for each of its lines.
+_BOXES = "select l_orderkey as doc_id, l_partkey % 60 as x1, l_suppkey % 60 as y1, l_partkey % 60 + 6 + l_orderkey % 20 as x2, l_suppkey % 60 + 6 + 2 * l_linenumber as y2 from {lineitem}"
+
+
+@query(_regions_sql(_BOXES.format(lineitem="lineitem")))
+def merged_boxes(spark, d):
+    """Small boxes united wherever they touch."""
+    return layout.regions(spark.sql(_BOXES, lineitem=table(spark, d, "lineitem")))
+
+
+@query(_regions_sql("""select distinct doc_id, line_id, (x2 - length(piece))::bigint as x1, y1, x2::bigint as x2, y1 + 1 as y2 from (
+ select *, sum(length(piece) + 1) over (partition by doc_id, y1, line_id order by k) - 1 as x2 from (
+  select doc_id, y1, hash(line) as line_id, unnest(string_split_regex(line, '[.,;:!?]')) as piece, generate_subscripts(string_split_regex(line, '[.,;:!?]'), 1) as k from (
+   select distinct doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as y1 from documents))) where piece <> ''"""))
+def text_regions(spark, d):
+    """Regions on the character grid of each document: clauses (between punctuation) that touch those of the lines above and below."""
+    return layout.regions(layout.text_runs(table(spark, d, "documents"), "[.,;:!?]"))
+
+
 @query("select distinct o_orderpriority as field, 'default' as strategy from orders")
 def similarity_strategies(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderpriority").alias("field"), strategy(F.col("o_orderpriority")).alias("strategy")).distinct()

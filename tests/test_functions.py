@@ -80,16 +80,12 @@ def test_measures_of_plain_images(spark):
     assert df.select(small("image").alias("o")).select("o.height").first()[0] == 8
 
 
-def test_text_lines_and_regions():
+def test_text_lines():
     img = np.full((100, 100, 1), 255, dtype=np.uint8)
     img[20:40, 5:95:2] = 0
     img[80:100, 5:95:2] = 0
     lines = raster.text_lines(img)
     assert len(lines) == 1 and abs(lines[0][0] - 20) <= 2
-    on = np.zeros((6, 8), dtype=bool)
-    on[1:3, 1:3] = on[3:5, 2:6] = True
-    on[0, 7] = True
-    assert sorted(raster.regions(on)) == [(1, 1, 5, 4), (7, 0, 1, 1)]
 
 
 def test_routes_and_kinds(spark):

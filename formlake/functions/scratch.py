@@ -1,16 +1,28 @@
 """Tables that several steps read: written once to the shared folder of the session."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df by way of a reliable checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where it is unset and Spark runs in one process."""
-    sc = df.sparkSession.sparkContext
+def _ready(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="formlake-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder of one's own in the shared folder, not made yet."""
+    return f"{_ready(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df by way of a reliable checkpoint in the shared folder."""
+    _ready(df.sparkSession)
     return df.checkpoint()

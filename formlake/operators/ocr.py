@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlake.operators.route import keep_longer, needs_retry
+from formlake.operators.route import longer, needs_retry
 
 #: Makes the engine once in each worker process; the engine gives (text, confidence) of one image row.
 EngineMaker = Callable[[], Callable[[dict], tuple[str, float]]]
@@ -38,7 +38,7 @@ def with_retry(first: DataFrame, pages: DataFrame, maker: EngineMaker, mode: str
     short = first.where(needs_retry(F.col("text"), F.col("engine"), mode, least)).select("doc_id", "page_idx")
     again = recognise(pages.join(short, ["doc_id", "page_idx"]), maker, "handwritten").select("doc_id", "page_idx", F.col("text").alias("text2"), F.col("confidence").alias("confidence2"))
     both = first.join(again, ["doc_id", "page_idx"], "left")
-    better = F.coalesce(keep_longer(F.col("text"), F.col("text2")) == F.col("text2"), F.lit(False)) & F.col("text2").isNotNull()
+    better = longer(F.col("text"), F.col("text2"))
     return both.select(
         *[c for c in first.columns if c not in ("text", "confidence", "engine")],
         F.when(better, F.col("text2")).otherwise(F.col("text")).alias("text"), F.when(better, F.col("confidence2")).otherwise(F.col("confidence")).alias("confidence"),

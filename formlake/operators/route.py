@@ -37,9 +37,14 @@ def needs_retry(text: Column, engine: Column, mode: str = "auto", least: int = 4
     return (F.length(strip(F.coalesce(text, F.lit("")))) < least) & (engine != "handwritten")
 
 
+def longer(first: Column, second: Column) -> Column:
+    """Whether the second text is strictly longer, blanks around aside; null is as short as none."""
+    return F.length(strip(F.coalesce(second, F.lit("")))) > F.length(strip(F.coalesce(first, F.lit(""))))
+
+
 def keep_longer(first: Column, second: Column) -> Column:
     """The second text only if it is strictly longer."""
-    return F.when(F.length(strip(F.coalesce(second, F.lit("")))) > F.length(strip(F.coalesce(first, F.lit("")))), second).otherwise(first)
+    return F.when(longer(first, second), second).otherwise(first)
 
 
 def text_kind(line_gap_std: Column, char_gap_std: Column, edge_density: Column, has_lines: Column) -> Column:

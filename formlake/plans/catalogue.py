@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlake.functions import fixed, text, validate
+from formlake.functions.scratch import new_folder
 from formlake.functions.similarity import strategy
-from formlake.operators import classify, extract, forms, graph, layout, metrics, route, templates, verify
+from formlake.operators import classify, extract, extraction, forms, graph, layout, metrics, route, templates, verify
 from formlake.sources import files
 
 #: Customers rendered as label: value forms; the same text in both engines.
@@ -362,6 +363,32 @@ def page_texts(spark, d):
     return extract.join_pages(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_idx"), "text"))
 
 
+def _reader(patient: bool):
+    """An engine for pages that are texts: gives the text back; if not patient, refuses those that hold a capital E."""
+
+    def maker():
+        def read(page):
+            if not patient and "E" in (page["text"] or ""):
+                raise ValueError("refused")
+            return page["text"], 0.5
+
+        return read
+
+    return maker
+
+
+@query("""select conv_id as doc_id, turn as page_idx, text, case role when 'user' then 'handwritten' else 'printed' end as engine, case when contains(coalesce(text, ''), 'E') then 2 else 1 end as tries
+from conversations qualify row_number() over (partition by conv_id, turn order by case role when 'user' then 1 else 2 end, text nulls first) = 1""")
+def page_states(spark, d):
+    """Turns of conversations as pages, read by the engine of their kind: a first run that fails on some pages, and one that reads those only."""
+    kind = F.when(F.col("role") == "user", "handwritten").otherwise("printed")
+    pages = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_idx"), F.struct("text").alias("image"), kind.alias("text_kind"), F.lit("eng").alias("language"))
+    path = new_folder(spark)
+    for patient in (False, True):
+        store = extraction.page_states(pages, path, {k: _reader(patient) for k in ("printed", "handwritten")}, mode="off", parts=spark.sparkContext.defaultParallelism)
+    return store.latest().select("doc_id", "page_idx", "text", "engine", "tries")
+
+
 @query("""select page_id, case when length(html) > 4000 then 'too_large' when length(coalesce(html, '')) = 0 then 'empty' end as reason,
  case when ends_with(lower(url), '.pdf') then 'pdf' when regexp_matches(url, '(?i)\\.(png|jpe?g|gif|bmp|tiff?|webp)$') then 'image' end as kind from pages""")
 def upload_checks(spark, d):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import defaultdict
@@ -115,6 +116,19 @@ def test_line_dedup_against_all_pairs(spark):
     assert got == want
 
 
+def test_very_long_lines_are_compared_in_time():
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(4000)]
+    a = [r.choice(words) for _ in range(20_000)]
+    b = [r.choice(words) if i % 12 == 0 else w for i, w in enumerate(a)]
+    del b[5]
+    began = time.monotonic()
+    assert line_dedup.similar(" ".join(a), " ".join(b), 0.8)
+    r.shuffle(b)
+    assert not line_dedup.similar(" ".join(a), " ".join(b), 0.8)
+    assert time.monotonic() - began < 60  # without end before: matching of words
+
+
 def test_line_dedup_against_edit_similarity_alone(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9)))

@@ -22,6 +22,19 @@ def new_folder(spark: SparkSession) -> str:
     return f"{_ready(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
+class Table:
+    """df by way of parquet files in the shared folder, smaller than a checkpoint and removed by drop()."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.path = df.sparkSession, new_folder(df.sparkSession)
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df by way of a reliable checkpoint in the shared folder."""
     _ready(df.sparkSession)

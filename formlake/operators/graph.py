@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formlake.functions.scratch import kept
+from formlake.functions.scratch import Table, kept
 
 
 def scan_imports(files: DataFrame, package: str, proper: bool = False) -> DataFrame:
@@ -115,16 +115,17 @@ def connected(links: DataFrame) -> DataFrame:
     def state(step: DataFrame):
         return step.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
 
-    step = kept(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    now, before = state(step), None
+    step = Table(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, before = state(step.df), None
     while now != before:
-        before = now
-        large = star(step.unionByName(step.select(F.col("b").alias("a"), F.col("a").alias("b")))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = star(large.where("a <> b").select("a", "b").distinct())
+        before, old = now, step
+        large = star(old.df.unionByName(old.df.select(F.col("b").alias("a"), F.col("a").alias("b")))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = star(large.where("a <> b").distinct())
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.a", "l.b")
-        step = kept(small.where("a <> b").distinct())
-        now = state(step)
-    return step.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(step.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        step = Table(small.where("a <> b").distinct())
+        old.drop()
+        now = state(step.df)
+    return step.df.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(step.df.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def cycles(rows: DataFrame, longest: int | None = None) -> DataFrame:

@@ -11,63 +11,73 @@ links and are counted in regions; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlake.functions.scratch import kept
+from formlake.functions.scratch import Table
 from formlake.operators.graph import connected
 
 SIDES = ("x1", "y1", "x2", "y2")
 
 
 def text_runs(docs: DataFrame, blank: str = r"\s", gap: int = 0) -> DataFrame:
-    """Boxes of height 1 of each line's runs on the character grid: what stands between single letters that match `blank`, joined over up to `gap` of them."""
+    """Boxes of height 1 of each line's runs on the character grid: what stands between letters that match `blank` (Python's syntax), joined over up to `gap` of them.
+
+    Texts are read once and nothing is shuffled; rows that share a doc_id are laid over one another."""
+    between = re.compile(f"(?:{blank})+")
+
+    @F.pandas_udf("array<struct<x1:int,x2:int>>")
+    def runs(lines: pd.Series) -> pd.Series:
+        out = []
+        for line in lines:
+            found, start = [], 0
+            for gone in between.finditer(line or ""):
+                if start < gone.start() and gone.end() < len(line) and gone.end() - gone.start() <= gap:
+                    continue
+                if gone.start() > start:
+                    found.append({"x1": start, "x2": gone.start()})
+                start = gone.end()
+            if line and start < len(line):
+                found.append({"x1": start, "x2": len(line)})
+            out.append(found)
+        return pd.Series(out)
+
     line = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("y1", "line"))
-    w = Window.partitionBy("doc_id", "y1", "line_id").orderBy("k")
-    # rows that share a doc_id keep lines apart, by the whole line's hash
-    piece = line.withColumn("line_id", F.xxhash64("line")).distinct().select("doc_id", "y1", "line_id", F.posexplode(F.split("line", blank, -1)).alias("k", "piece"))
-    ends = piece.select("doc_id", "y1", "line_id", "k", F.length("piece").alias("n"), (F.sum(F.length("piece") + 1).over(w) - 1).alias("x2"))
-    ink = ends.where("n > 0").select("doc_id", "y1", "line_id", "k", (F.col("x2") - F.col("n")).alias("x1"), "x2")
-    cut = F.when(F.col("x1") - F.lag("x2").over(w) <= gap, 0).otherwise(1)
-    run = ink.withColumn("cut", cut).withColumn("run", F.sum("cut").over(w))
-    found = run.groupBy("doc_id", "y1", "line_id", "run").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"))
-    return found.select("doc_id", "x1", F.col("y1").cast("long").alias("y1"), "x2", (F.col("y1") + 1).cast("long").alias("y2"))
-
-
-def _box(boxes: DataFrame) -> DataFrame:
-    whole = boxes.where(" and ".join(f"{s} is not null" for s in SIDES))
-    return whole.select(F.struct("doc_id", *[F.col(s).cast("long").alias(s) for s in ("y1", "x1", "y2", "x2")]).alias("box"))
-
-
-def _cells(box: Column, grid: int) -> Column:
-    across, down = (F.sequence(F.floor(box[a] / grid), F.floor(box[b] / grid)) for a, b in (("x1", "x2"), ("y1", "y2")))
-    return F.flatten(F.transform(across, lambda x: F.transform(down, lambda y: F.struct(box["doc_id"].alias("doc_id"), x.alias("x"), y.alias("y")))))
-
-
-def touching(boxes: DataFrame, grid: int = 64) -> DataFrame:
-    """(a, b): links between structs (doc_id, y1, x1, y2, x2) of touching boxes, enough to connect all that touch, by way of others too."""
-    box, cell = F.col("box"), F.col("cell")
-    dealt = _box(boxes).distinct().withColumn("cell", F.explode(_cells(box, grid)))
-    inside = [(box[lo] <= cell[c] * grid) & (box[hi] >= (cell[c] + 1) * grid) for lo, hi, c in (("x1", "x2", "x"), ("y1", "y2", "y"))]
-    hub = F.min(F.when(inside[0] & inside[1], box)).over(Window.partitionBy("cell"))
-    dealt = kept(dealt.withColumn("hub", hub))
-    spokes = dealt.where(F.col("hub").isNotNull() & (box != F.col("hub"))).select(box.alias("a"), F.col("hub").alias("b")).distinct()
-    open_ = dealt.where(F.col("hub").isNull())
-    a, b = F.col("a"), F.col("b")
-    meet = (a < b) & (a["x1"] <= b["x2"]) & (b["x1"] <= a["x2"]) & (a["y1"] <= b["y2"]) & (b["y1"] <= a["y2"])
-    once = [F.floor(F.greatest(a[s], b[s]) / grid) == cell[s[0]] for s in ("x1", "y1")]
-    pairs = open_.select("cell", box.alias("a")).join(open_.select("cell", box.alias("b")), "cell").where(meet & once[0] & once[1])
-    return spokes.unionByName(pairs.select("a", "b"))
+    run = line.select("doc_id", "y1", F.explode(runs("line")).alias("r"))
+    return run.select("doc_id", "r.x1", "y1", "r.x2", (F.col("y1") + 1).alias("y2"))
+
+
+def _numbered(boxes: DataFrame) -> Table:
+    """Distinct boxes with how many rows each had and a number of its own, written once so that numbers stay."""
+    whole = boxes.where(" and ".join(f"{s} is not null" for s in SIDES)).select("doc_id", *SIDES)
+    return Table(whole.groupBy("doc_id", *SIDES).agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+
+
+def _links(numbered: DataFrame, grid: int) -> DataFrame:
+    """(a, b): numbers of touching boxes, enough to connect all that touch, by way of others too."""
+    across, down = (F.explode(F.sequence(F.floor(F.col(a) / grid), F.floor(F.col(b) / grid))) for a, b in (("x1", "x2"), ("y1", "y2")))
+    dealt = numbered.drop("n").withColumn("cx", across).withColumn("cy", down)
+    inside = " and ".join(f"{s}1 <= c{s} * {grid} and {s}2 >= (c{s} + 1) * {grid}" for s in "xy")
+    dealt = dealt.withColumn("hub", F.min(F.expr(f"case when {inside} then id end")).over(Window.partitionBy("doc_id", "cx", "cy")))
+    spokes = dealt.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    p, q = (dealt.where("hub is null").alias(name) for name in "pq")
+    same = F.expr("p.doc_id <=> q.doc_id and p.cx = q.cx and p.cy = q.cy and p.id < q.id")
+    meet = F.expr(" and ".join(f"p.{s}1 <= q.{s}2 and q.{s}1 <= p.{s}2 and floor(greatest(p.{s}1, q.{s}1) / {grid}) = p.c{s}" for s in "xy"))
+    return spokes.unionByName(p.join(q, same & meet).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))
 
 
 def regions(boxes: DataFrame, grid: int = 64) -> DataFrame:
     """(doc_id, x1, y1, x2, y2, n): the bounding box of each group of connected boxes, and how many it has.
 
     The surveyed merge of small boxes goes once through the list and depends on its order; here all that touch are one."""
-    roots = connected(touching(boxes, grid)).select(F.col("node").alias("box"), "root")
-    labelled = _box(boxes).join(roots, "box", "left").withColumn("root", F.coalesce("root", "box"))
-    sides = [f(F.col("box")[s]).alias(s) for f, names in ((F.min, ("x1", "y1")), (F.max, ("x2", "y2"))) for s in names]
-    return labelled.groupBy("root").agg(*sides, F.count("*").alias("n")).select("root.doc_id", *SIDES, "n")
+    numbered = _numbered(boxes).df
+    roots = connected(_links(numbered, grid)).select(F.col("node").alias("id"), "root")
+    labelled = numbered.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sides = [F.min(s).alias(s) for s in ("x1", "y1")] + [F.max(s).alias(s) for s in ("x2", "y2")]
+    return labelled.groupBy("root", "doc_id").agg(*sides, F.sum("n").alias("n")).select("doc_id", *SIDES, "n")
 
 
 def ruled(runs: DataFrame, pages: DataFrame, part: int = 15) -> DataFrame:

@@ -66,9 +66,12 @@ def test_regions_against_loops(spark):
 
 def test_text_runs(spark):
     docs = spark.createDataFrame([(1, "ab  c d\n\n é😀x"), (1, "ab  c d\n\n é😀x"), (2, None), (3, ""), (4, "   ")], "doc_id long, text string")
-    got = sorted(tuple(x) for x in layout.text_runs(docs).select("y1", "x1", "x2").collect())
+    got = sorted(tuple(x) for x in layout.text_runs(docs).distinct().select("y1", "x1", "x2").collect())
     assert got == [(0, 0, 2), (0, 4, 5), (0, 6, 7), (2, 1, 4)]
-    wide = sorted(tuple(x) for x in layout.text_runs(docs, gap=1).select("y1", "x1", "x2").collect())
+    assert layout.text_runs(docs).count() == 8
+    ends = spark.createDataFrame([(1, " ab c  d ")], "doc_id long, text string")
+    assert sorted(tuple(x) for x in layout.text_runs(ends, gap=1).select("x1", "x2").collect()) == [(1, 5), (7, 8)]
+    wide = sorted(tuple(x) for x in layout.text_runs(docs, gap=1).distinct().select("y1", "x1", "x2").collect())
     assert wide == [(0, 0, 2), (0, 4, 7), (2, 1, 4)]
 
 

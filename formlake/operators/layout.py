@@ -23,6 +23,18 @@ from formlake.operators.graph import connected
 SIDES = ("x1", "y1", "x2", "y2")
 
 
+def _runs(line: str, between: re.Pattern, gap: int) -> list[tuple[int, int]]:
+    """(x1, x2) of what stands between matches of `between` in a line, joined over matches of up to `gap` letters."""
+    found, start = [], 0
+    for gone in between.finditer(line):
+        if start < gone.start() and gone.end() < len(line) and gone.end() - gone.start() <= gap:
+            continue
+        if gone.start() > start:
+            found.append((start, gone.start()))
+        start = gone.end()
+    return [*found, (start, len(line))] if start < len(line) else found
+
+
 def text_runs(docs: DataFrame, blank: str = r"\s", gap: int = 0) -> DataFrame:
     """Boxes of height 1 of each line's runs on the character grid: what stands between letters that match `blank` (Python's syntax), joined over up to `gap` of them.
 
@@ -31,25 +43,58 @@ def text_runs(docs: DataFrame, blank: str = r"\s", gap: int = 0) -> DataFrame:
 
     @F.pandas_udf("array<struct<x1:int,x2:int>>")
     def runs(lines: pd.Series) -> pd.Series:
-        out = []
-        for line in lines:
-            found, start = [], 0
-            for gone in between.finditer(line or ""):
-                if start < gone.start() and gone.end() < len(line) and gone.end() - gone.start() <= gap:
-                    continue
-                if gone.start() > start:
-                    found.append({"x1": start, "x2": gone.start()})
-                start = gone.end()
-            if line and start < len(line):
-                found.append({"x1": start, "x2": len(line)})
-            out.append(found)
-        return pd.Series(out)
+        return pd.Series([[{"x1": a, "x2": b} for a, b in _runs(line or "", between, gap)] for line in lines])
 
     line = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("y1", "line"))
     run = line.select("doc_id", "y1", F.explode(runs("line")).alias("r"))
     return run.select("doc_id", "r.x1", "y1", "r.x2", (F.col("y1") + 1).alias("y2"))
 
 
+def _text_regions(text: str, between: re.Pattern, gap: int) -> list[dict]:
+    """Regions of one text: runs of a line are united with those they touch in the line before, from left to right in both."""
+    parent, box, before = [], [], []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for y, line in enumerate(text.split("\n")):
+        now, at = [], 0
+        for x1, x2 in _runs(line, between, gap):
+            own = len(parent)
+            parent.append(own)
+            box.append((x1, y, x2))
+            now.append((x1, x2, own))
+            while at < len(before) and before[at][1] < x1:
+                at += 1
+            k = at
+            while k < len(before) and before[k][0] <= x2:
+                p, q = root(before[k][2]), root(own)
+                parent[max(p, q)] = min(p, q)
+                k += 1
+            at = max(at, k - 1)  # the last one met may touch the next run too
+        before = now
+    found: dict[int, list[int]] = {}
+    for i, (x1, y, x2) in enumerate(box):
+        f = found.setdefault(root(i), [x1, y, x2, y + 1, 0])
+        f[:] = min(f[0], x1), f[1], max(f[2], x2), y + 1, f[4] + 1
+    return [dict(zip((*SIDES, "n"), f, strict=True)) for f in found.values()]
+
+
+def text_regions(docs: DataFrame, blank: str = r"\s", gap: int = 0) -> DataFrame:
+    """(doc_id, x1, y1, x2, y2, n) of the regions that `regions` finds in `text_runs`, each row being a page of its own.
+
+    A text is in one row, so its regions are found where it is read: no shuffle, memory by the longest text."""
+    between = re.compile(f"(?:{blank})+")
+
+    @F.pandas_udf("array<struct<x1:long,y1:long,x2:long,y2:long,n:long>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([_text_regions(t or "", between, gap) for t in texts])
+
+    return docs.select("doc_id", F.explode(found("text")).alias("r")).select("doc_id", "r.*")
+
+
 def _numbered(boxes: DataFrame) -> Table:
     """Distinct boxes with how many rows each had and a number of its own, written once so that numbers stay."""
     whole = boxes.where(" and ".join(f"{s} is not null" for s in SIDES)).select("doc_id", *SIDES)

@@ -503,7 +503,7 @@ def merged_boxes(spark, d):
    select distinct doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as y1 from documents))) where piece <> ''"""))
 def text_regions(spark, d):
     """Regions on the character grid of each document: clauses (between punctuation) that touch those of the lines above and below."""
-    return layout.regions(layout.text_runs(table(spark, d, "documents"), "[.,;:!?]"))
+    return layout.text_regions(table(spark, d, "documents"), "[.,;:!?]")
 
 
 @query("select distinct o_orderpriority as field, 'default' as strategy from orders")

@@ -75,6 +75,16 @@ def test_text_runs(spark):
     assert wide == [(0, 0, 2), (0, 4, 7), (2, 1, 4)]
 
 
+def test_text_regions_are_those_of_the_runs(spark):
+    r = random.Random(8)
+    rows = [(k, "\n".join("".join(r.choice("ab  ") for _ in range(r.randrange(30))) for _ in range(r.randrange(25)))) for k in range(20)] + [(30, None), (31, ""), (32, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for gap in (0, 1):
+        want = plain(layout.regions(layout.text_runs(docs, gap=gap), 16))
+        assert plain(layout.text_regions(docs, gap=gap)) == want and len(want) > 50
+    assert "Exchange" not in layout.text_regions(docs)._jdf.queryExecution().toString()
+
+
 def drawn(height=300, width=400):
     """A ruled table of three columns and two rows, one of which holds text, and a short bar elsewhere."""
     img = np.full((height, width, 1), 250, dtype=np.uint8)

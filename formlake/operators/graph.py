@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,14 +76,136 @@ def _spread(start: DataFrame, step: DataFrame) -> DataFrame:
     return now
 
 
-def components(rows: DataFrame) -> DataFrame:
+#: Edges that are solved together in one task at most.
+SLICE = 200_000
+
+
+def strong_parts(src: list[int], dst: list[int], n: int) -> list[int]:
+    """The strongly connected part of each of n nodes, edges ordered by src (Tarjan). Parts are numbered from the ends of paths: an edge between parts leads to the lesser number."""
+    start = np.searchsorted(src, np.arange(n + 1)).tolist()
+    seen, low, part, stack, found, clock = [0] * n, [0] * n, [-1] * n, [], 0, 0
+    at = start[:-1]
+    for first in range(n):
+        if seen[first]:
+            continue
+        way = [first]
+        while way:
+            u = way[-1]
+            if not seen[u]:
+                clock += 1
+                seen[u] = low[u] = clock
+                stack.append(u)
+            if at[u] < start[u + 1]:
+                v = dst[at[u]]
+                at[u] += 1
+                if not seen[v]:
+                    way.append(v)
+                elif part[v] < 0 and seen[v] < low[u]:
+                    low[u] = seen[v]
+                continue
+            way.pop()
+            if low[u] == seen[u]:
+                while part[u] < 0:
+                    part[stack.pop()] = found
+                found += 1
+            if way and part[u] < 0 and low[u] < low[way[-1]]:
+                low[way[-1]] = low[u]
+    return part
+
+
+def _solved(edges: pd.DataFrame, whole: bool, cut: str | None) -> pd.DataFrame:
+    """(src, dst, done) of a slice that holds all edges of its sources but `cut`: done rows are modules with their component, for parts
+    that no path leaves for a module of other slices; other rows are the edges from which a path leaves. whole: there are no other slices."""
+    code, names = pd.factorize(pd.concat([edges["src"], edges["dst"]], ignore_index=True))
+    n, m = len(names), len(edges)
+    order = np.argsort(code[:m], kind="stable")
+    src, dst = code[:m][order], code[m:][order]
+    part = np.array(strong_parts(src, dst.tolist(), n), dtype=np.int64)
+    away = np.ones(n, dtype=bool)
+    away[src] = names[src] == cut if cut is not None else False
+    leaves = np.zeros(part.max() + 1, dtype=bool)
+    if not whole:
+        leaves[part[away]] = True
+        a, b = part[src], part[dst]
+        out = leaves.tolist()
+        by = np.argsort(a, kind="stable")
+        for i, j in zip(a[by].tolist(), b[by].tolist(), strict=True):
+            if out[j]:
+                out[i] = True
+        leaves = np.array(out)
+    left = leaves[part[dst]]
+    node = np.flatnonzero((np.bincount(part)[part] > 1) & ~leaves[part])
+    module = pd.Series(names[node])
+    least = module.groupby(part[node]).transform("min") if len(node) else module
+    return pd.concat([
+        pd.DataFrame({"src": names[src[left]], "dst": names[dst[left]], "done": False}), pd.DataFrame({"src": module, "dst": least, "done": True})], ignore_index=True)
+
+
+class _Slices:
+    """Solves the edges of a partition, ordered by src, in slices of about `most`; a source with more edges than that is cut and its edges are left."""
+
+    def __init__(self, most: int, whole: bool):
+        self.most, self.whole = most, whole
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, cut = [], 0, None
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size <= self.most or self.whole:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            last = rows["src"].iloc[-1]
+            own = (rows["src"] != last).to_numpy()
+            if own.any():
+                yield _solved(rows[own], False, cut)
+                cut, held = None, [rows[~own]]
+            else:
+                yield rows.assign(done=False)
+                cut, held = last, []
+            size = sum(map(len, held))
+        if size:
+            yield _solved(pd.concat(held, ignore_index=True), self.whole, cut)
+
+
+def _in_slices(step: DataFrame, most: int, whole: bool) -> Table:
+    """step's components and left edges, solved in slices of neighbouring names. Which edges meet in a slice decides how many are left, never a result."""
+    dealt = step.coalesce(1) if whole else step.repartitionByRange("src").sortWithinPartitions("src")
+    return Table(dealt.mapInPandas(_Slices(most, whole), "src string, dst string, done boolean"))
+
+
+def components(rows: DataFrame, most: int = SLICE) -> DataFrame:
     """(module, component): the modules on cycles of two or more, with the least module of their strongly connected component.
 
-    Forward and backward colouring: what can't lie on a cycle is trimmed away; then every node takes the least node that reaches it, and within
+    Modules import mostly within their package, and names sort by package: slices of up to `most` edges of neighbouring names are solved in
+    tasks, and what no path leaves is done. The edges left are trimmed and dealt again while they become fewer by half; those that don't are
+    coloured over all tasks (`_coloured`), so that a component of any size is found."""
+    step = Table(rows.select("src", "dst").where("src <> dst").distinct())
+    n, found = step.df.count(), None
+    while n:
+        whole = n <= most
+        tried = _in_slices(step.df, most, whole)
+        own = tried.df.where("done").select(F.col("src").alias("module"), F.col("dst").alias("component"))
+        found = own if found is None else found.unionByName(own)
+        if whole:
+            break
+        left, before = _trimmed(tried.df.where("not done").select("src", "dst")), n
+        n = left.count()
+        if n > before / 2:
+            return found.unionByName(_coloured(left))
+        step.drop()
+        step = Table(left)
+    step.drop()
+    return rows.sparkSession.createDataFrame([], "module string, component string") if found is None else found
+
+
+def _coloured(step: DataFrame) -> DataFrame:
+    """components of trimmed edges of any size.
+
+    Forward and backward colouring: every node takes the least node that reaches it, and within
     one colour those that reach the colour's own node, against the edges, are its component. Edges inside found components and between colours
-    go, and the rest is coloured anew. A step is a join and an aggregation on module names; each round finds a component in every colour."""
-    step = _trimmed(kept(edges(rows).where("src <> dst")))
-    found = None
+    go, and the rest is trimmed and coloured anew. A step is a join and an aggregation on module names; each round finds a component in every colour."""
+    none, found = step.sparkSession.createDataFrame([], "module string, component string"), None
     while not step.isEmpty():
         nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
         colour = _spread(nodes.withColumn("colour", F.col("node")), step)
@@ -94,7 +219,6 @@ def components(rows: DataFrame) -> DataFrame:
         done = own.select(F.col("module").alias("src"))
         rest = inside.select("src", "dst").join(done, "src", "left_anti").join(done.withColumnRenamed("src", "dst"), "dst", "left_anti")
         step = _trimmed(kept(rest.select("src", "dst")))
-    none = rows.sparkSession.createDataFrame([], "module string, component string")
     if found is None:
         return none
     sizes = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")

@@ -129,3 +129,22 @@ def test_strongly_connected_components(spark):
         assert {tuple(x) for x in graph.components(df).collect()} == brute_components(edges)
     ring = spark.createDataFrame([(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)], "src string, dst string")
     assert [x["cycle"] for x in graph.cycles(ring).collect()] == [[f"r{i}" for i in range(9)]]
+
+
+def test_components_are_found_in_slices(spark):
+    import random
+
+    from formlake.operators import graph
+
+    r = random.Random(9)
+    for n, m, most in ((30, 40, 5), (40, 55, 9), (12, 60, 3)):
+        edges = sorted({(f"m{a:02}", f"m{(a + r.choice([1, 2, -1, 0, 5])) % n:02}") for a in (r.randrange(n) for _ in range(m))} | {("m00", f"m{k:02}") for k in range(1, 12)})
+        df = spark.createDataFrame(edges, "src string, dst string")
+        assert {tuple(x) for x in graph.components(df, most).collect()} == brute_components(edges), (n, m, most)
+    # a thousand loops of neighbours: a few jobs, not some for every step along a loop
+    loops = spark.createDataFrame([(f"n{k:05}", f"n{k - k % 9 + (k + 1) % 9:05}") for k in range(9000)], "src string, dst string")
+    spark.sparkContext.setJobGroup("loops", "")
+    assert graph.components(loops).count() == 9000
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("loops")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 20

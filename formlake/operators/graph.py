@@ -36,7 +36,7 @@ def scan_imports(files: DataFrame, package: str, proper: bool = False) -> DataFr
 
     rows = files.select(parts.alias("parts"), names.alias("names"), sources.alias("sources")).where("parts[0] <> ''")
     src = F.array_join("parts", ".")
-    found = F.concat(F.filter("names", lambda x: x.startswith(package)), F.array_compact(F.transform("sources", target)))
+    found = F.array_distinct(F.concat(F.filter("names", lambda x: x.startswith(package)), F.array_compact(F.transform("sources", target))))
     return rows.select((F.regexp_replace(src, r"\.__init__$", "") if proper else src).alias("src"), F.explode(found).alias("dst")).distinct()
 
 

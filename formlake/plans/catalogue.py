@@ -437,8 +437,9 @@ _SOURCES = """select concat('/src/app/g', c_custkey % 7, '/', case when c_custke
 @query("""with m as (select concat('app.g', c_custkey % 7, '.', case when c_custkey % 50 = 0 then '__init__' else concat('c', c_custkey) end) as src, c_custkey as k, c_nationkey as n from customer)
 select distinct src, unnest([concat('app.g', (k + 1) % 7, '.c', k + 1), src, concat(src, '.util', k % 3), concat('app.g', k % 7, '.shared.deep'), concat('app.core', n)]) as dst from m""")
 def import_scan(spark, d):
-    """Import edges of a source text a customer, relative ones as surveyed."""
-    return graph.scan_imports(spark.sql(_SOURCES, customer=table(spark, d, "customer")), "app")
+    """Import edges of a source text a customer, relative ones as surveyed. Customers are dealt over the cores, for a file's few bytes a customer become a text and its edges."""
+    dealt = table(spark, d, "customer").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+    return graph.scan_imports(spark.sql(_SOURCES, customer=dealt), "app")
 
 
 #: Customers that import the customers numbered as their orders are, whole tables: about ten edges a module at every size.

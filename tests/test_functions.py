@@ -148,3 +148,10 @@ def test_components_are_found_in_slices(spark):
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("loops")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) < 20
+
+
+def test_import_scan_deals_its_sources(spark):
+    from formlake.plans import catalogue
+
+    plan = catalogue.queries()["import_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "RepartitionByExpression" in plan

@@ -1,7 +1,7 @@
 """Layout of pages as rows: runs of ink, boxes that touch, regions they make, and tables enclosed by ruled lines.
 
 A box is (doc_id, x1, y1, x2, y2) in whole numbers, x2 and y2 past its end; two boxes touch if their closed areas share a point, so
-runs of neighbouring rows touch along edges and at corners. Boxes are dealt over the cells of a grid and meet there, so one page with very many
+runs of neighbouring rows touch along edges and at corners. A page of few boxes is solved in its row; the boxes of other pages are dealt over the cells of a grid and meet there, so one page with very many
 boxes is spread over tasks. Where one box covers a whole cell, all others in that cell touch it and are linked to it alone; elsewhere the boxes of
 a cell are compared, and a pair is reported by one cell only.
 
@@ -12,8 +12,11 @@ links and are counted in regions; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,10 +117,69 @@ def _links(numbered: DataFrame, grid: int) -> DataFrame:
     return spokes.unionByName(p.join(q, same & meet).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))
 
 
-def regions(boxes: DataFrame, grid: int = 64) -> DataFrame:
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node connected to each of n nodes by the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _united(box: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Regions (x1, y1, x2, y2, n) of boxes, rows of four sides in order of their page, and each region's page."""
+    links, left = [(np.zeros(0, dtype=np.int64),) * 2], np.arange(len(box))
+    for step in range(1, len(box)):
+        left = left[left + step < len(box)]
+        left = left[page[left] == page[left + step]]
+        if not len(left):
+            break
+        p, q = box[left], box[left + step]
+        links.append((left[touch := ((p[:, :2] <= q[:, 2:]) & (q[:, :2] <= p[:, 2:])).all(axis=1)], left[touch] + step))
+    root = _roots(*map(np.concatenate, zip(*links, strict=True)), len(box))
+    order = np.argsort(root, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(root[order]) > 0])
+    low, high = np.minimum.reduceat(box[order, :2], first), np.maximum.reduceat(box[order, 2:], first)
+    return np.column_stack([low, high, np.diff(np.r_[first, len(box)])]), page[order][first]
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions of pages (doc_id, b: sides of all its boxes in a row), several pages side by side in up to about 4 million pairs."""
+    for batch in batches:
+        ends = batch.column("b").offsets.to_numpy().astype(np.int64)
+        ends, sides = (ends - ends[0]) // 4, batch.column("b").flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+        many = np.diff(ends)
+        cuts = np.searchsorted(np.cumsum(many * many), np.arange(1, 2 + int((many * many).sum()) // 4_000_000) * 4_000_000, side="right")
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(many)], strict=True):
+            if lo < hi:
+                found, page = _united(sides[ends[lo] : ends[hi]], np.repeat(np.arange(lo, hi), many[lo:hi]))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(page)), *[pa.array(c) for c in found.T]], ["doc_id", *SIDES, "n"])
+
+
+def regions(boxes: DataFrame, grid: int = 64, few: int = 256) -> DataFrame:
     """(doc_id, x1, y1, x2, y2, n): the bounding box of each group of connected boxes, and how many it has.
 
-    The surveyed merge of small boxes goes once through the list and depends on its order; here all that touch are one."""
+    The surveyed merge of small boxes goes once through the list and depends on its order; here all that touch are one.
+    A page of up to `few` boxes travels as one row and is solved where it arrives; the boxes of other pages are dealt over the grid."""
+    kinds = dict(boxes.dtypes)
+    whole = Table(boxes.where(" and ".join(f"{s} is not null" for s in SIDES)).select("doc_id", *SIDES)).df
+    crowded = Table(whole.groupBy(F.col("doc_id").alias("page")).agg(F.count("*").alias("many")).where(F.col("many") > few).select("page")).df
+    dense = not crowded.isEmpty()
+    same = F.col("doc_id").eqNullSafe(F.col("page"))
+    own = whole.join(crowded, same, "left_anti") if dense else whole
+    rows = own.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array(*[F.col(s).cast("long") for s in SIDES]))).alias("b"))
+    small = rows.mapInArrow(_pages, f"doc_id {kinds['doc_id']}, {', '.join(s + ' long' for s in SIDES)}, n long")
+    small = small.select("doc_id", *[F.col(s).cast(kinds[s]).alias(s) for s in SIDES], "n")
+    return small.unionByName(_crowded_regions(whole.join(crowded, same, "left_semi"), grid)) if dense else small
+
+
+def _crowded_regions(boxes: DataFrame, grid: int) -> DataFrame:
+    """Regions of pages with very many boxes: by links over grid cells, joined by stars."""
     numbered = _numbered(boxes).df
     roots = connected(_links(numbered, grid)).select(F.col("node").alias("id"), "root")
     labelled = numbered.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

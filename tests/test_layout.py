@@ -75,6 +75,21 @@ def test_text_runs(spark):
     assert wide == [(0, 0, 2), (0, 4, 7), (2, 1, 4)]
 
 
+def test_regions_of_few_and_many_boxes_agree(spark):
+    r = random.Random(11)
+    boxes = [(d or None, x, y, x + r.randrange(1, 30), y + r.randrange(1, 30)) for d in range(40) for _ in range(1 + d) for x, y in [(r.randrange(200), r.randrange(200))]]
+    df = spark.createDataFrame([*boxes, boxes[5]], BOX)
+    want = grouped([*boxes, boxes[5]])
+    for few in (0, 12, 256):
+        assert plain(layout.regions(df, 64, few)) == want
+    chain = spark.createDataFrame([(d, 3 * k, 0, 3 * k + 3, 2) for d in range(50) for k in range(100)], BOX)  # a path of a hundred boxes takes no rounds of joins
+    spark.sparkContext.setJobGroup("chain", "")
+    assert {x[1:] for x in plain(layout.regions(chain))} == {(d, 0, 0, 300, 2, 100) for d in range(50)}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 10
+
+
 def test_text_regions_are_those_of_the_runs(spark):
     r = random.Random(8)
     rows = [(k, "\n".join("".join(r.choice("ab  ") for _ in range(r.randrange(30))) for _ in range(r.randrange(25)))) for k in range(20)] + [(30, None), (31, ""), (32, " \n")]

@@ -77,7 +77,8 @@ def _value(parts: Parts) -> float:
 
 
 def token_sort_parts(a: str, b: str) -> Parts:
-    return [(" ".join(sorted(a.split())), " ".join(sorted(b.split())))]
+    x, y = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    return 100.0 if x == y else [(x, y)]
 
 
 def token_set_parts(a: str, b: str) -> Parts:
@@ -128,8 +129,11 @@ def name_parts(a: str, b: str) -> Parts:
     a, b = a.strip().lower(), b.strip().lower()
     if a == b:
         return 100.0
+    whole = token_sort_parts(a, b)
+    if isinstance(whole, float):
+        return whole  # none is higher
     part = partial_parts(a, b)
-    return token_sort_parts(a, b) + (part if isinstance(part, list) else [])  # no parts: one of them is empty, and so is every ratio
+    return whole + (part if isinstance(part, list) else [])  # no parts: one of them is empty, and so is every ratio
 
 
 def address_parts(a: str, b: str) -> Parts:

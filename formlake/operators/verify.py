@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formlake.functions.scratch import kept
+from formlake.functions.scratch import Table
 from formlake.functions.similarity import similarity, strategy
 
 MATCH, PARTIAL, KEY_LEAST = 0.9, 0.6, 0.7
@@ -29,10 +29,16 @@ def _prefix(text: Column) -> Column:
 def alike_keys(wanted: DataFrame, have: DataFrame) -> DataFrame:
     """(doc_id, field, key, score) of a document's wanted fields and its keys with a ratio of KEY_LEAST or more.
 
-    Fields and keys of a document meet at equal letters of their prefixes and in the bounds of length; each distinct pair of texts is scored once, however
-    many documents hold it."""
-    fields = wanted.select("doc_id", "field", F.explode(F.array_distinct(_prefix(F.col("field")))).alias("letter"))
-    keys = have.select("doc_id", "key", F.explode(F.array_distinct(_prefix(F.col("key")))).alias("letter"))
+    Fields and keys of a document meet at equal letters of their prefixes and in the bounds of length; the prefix of each distinct text is worked out and
+    each distinct pair of texts is scored once, however many documents hold it."""
+
+    def lettered(rows: DataFrame, name: str) -> DataFrame:
+        known = rows.select(name).distinct().select(name, F.array_distinct(_prefix(F.col(name))).alias("letters"))
+        # outer: of a plain explode Spark infers a filter on the prefix, which it then works out for every row of the input
+        return rows.join(known, name).select("doc_id", name, F.explode_outer("letters").alias("letter"))
+
+    fields = lettered(wanted, "field")
+    keys = lettered(have.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), "key")
     share = KEY_LEAST / (2 - KEY_LEAST) - 1e-9
     a, b = F.length("field"), F.length("key")
     met = fields.join(keys, ["doc_id", "letter"]).where((a >= b * share) & (b >= a * share)).select("doc_id", "field", "key").distinct()
@@ -45,7 +51,7 @@ def resolve_keys(submitted: DataFrame, extracted: DataFrame, fuzzy: bool = True)
 
     submitted: doc_id, field, submitted. extracted: doc_id, field, value, and ord if several keys differ by case only."""
     if fuzzy:  # both are read by every tier
-        submitted, extracted = kept(submitted), kept(extracted)
+        submitted, extracted = Table(submitted).df, Table(extracted).df
     order = F.col("ord") if "ord" in extracted.columns else F.col("field")
     have = extracted.select("doc_id", F.col("field").alias("key"), F.col("value").alias("extracted"), order.alias("ord"))
     exact = have.select("doc_id", F.col("key").alias("field"), F.col("key").alias("key1"), F.col("extracted").alias("value1"))
@@ -56,7 +62,7 @@ def resolve_keys(submitted: DataFrame, extracted: DataFrame, fuzzy: bool = True)
     if not fuzzy:
         return rows
     # only fields without a key yet go through the Python function, against the keys of their own document
-    open_ = rows.where("tier is null").select("doc_id", "field").distinct()
+    open_ = Table(rows.where("tier is null").select("doc_id", "field").distinct()).df
     scored = alike_keys(open_, have.select("doc_id", "key").distinct()).join(have, ["doc_id", "key"])
     best = scored.groupBy("doc_id", "field").agg(F.max_by(F.struct("key", "extracted"), F.struct("score", "key")).alias("three"))
     rows = rows.join(best, ["doc_id", "field"], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlake.functions import fixed, text, validate
-from formlake.functions.scratch import new_folder
+from formlake.functions.scratch import Table, new_folder
 from formlake.functions.similarity import strategy
 from formlake.operators import classify, extract, extraction, forms, graph, layout, metrics, route, templates, verify
 from formlake.sources import files
@@ -291,7 +291,7 @@ def verify_counts(spark, d):
 @query()
 def verify_fuzzy(spark, d):
     """Names with swapped words and keys alike but for a prefix (no SQL: ratios of common subsequences)."""
-    have = extract.extract_fields(form_docs(spark, d)).select("doc_id", "field", "value")
+    have = Table(extract.extract_fields(form_docs(spark, d)).select("doc_id", "field", "value")).df  # read by both sides
     words = F.split("value", " ")
     sent = have.select("doc_id", F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit("my_"), F.col("field"))).otherwise(F.col("field")).alias("field"), F.array_join(F.reverse(words), " ").alias("submitted"))
     return verify.verify(sent, have)

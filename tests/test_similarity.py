@@ -71,3 +71,16 @@ def test_pairs_of_keys_are_scored_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("ArrowEvalPython")]
     assert "Join" in above and "Aggregate" in plan[plan.index("ArrowEvalPython") :]
+
+
+def test_prefixes_are_worked_out_once_a_text(spark):
+    rows = spark.createDataFrame([(d, f"my_key{d % 3}", f"key{d % 3}") for d in range(60)], "doc_id long, field string, key string")
+    found = verify.alike_keys(rows.select("doc_id", "field"), rows.select("doc_id", "key"))
+    assert {(x["doc_id"], x["field"], x["key"]) for x in found.collect()} == {(d, f"my_key{d % 3}", f"key{d % 3}") for d in range(60)}
+    # Spark puts no filter on prefixes (of which array_position is a part) below the distinct texts
+    assert not [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x and "array_position" in x]
+
+
+def test_texts_of_equal_words_have_no_parts():
+    assert S.default_parts("b a", "a  b ") == 100.0 and S.name_parts("Ann Lee", "lee ann") == 100.0 and S.default_parts("", " ") == 100.0
+    assert S.default_score("b a", "a c") == S.ratio("a b", "a c") / 100

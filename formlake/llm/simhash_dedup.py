@@ -13,9 +13,10 @@ Edge cases: null, empty and blank texts have fingerprint zero and link like any
 of documents that all lack ids is null; repeated rows each get their row; an empty table gives no rows; further columns
 are kept by `dedup` and ignored by `classes`.
 
-`dedup_copies`, the pipeline's stage, takes documents for near copies whose 5-word shingles have a Jaccard similarity of 0.8 or more. Such
-pairs differ in ten bits and more, which blocks of 64 bits can't find, so they meet by MinHash keys (missed in about 2 of 10,000
-cases at 0.8) and their own shingles decide.
+`dedup_copies`, the pipeline's stage, takes documents for near copies whose 5-word shingles have a Jaccard similarity of 0.8 or more. It goes the
+same way: fingerprints of distinct shingles, blocks, pivot table, distance; then a pair's own shingles decide. Such pairs differ in ten bits on
+average, and blocks of 64 bits find those within three, so the others are added by MinHash keys (missed in about 2 of 10,000 cases at 0.8). The limit of the
+pivot table and of the distance (`FAR`) is wide enough for such pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlake.llm.common import Saved, band_keys, block_bucket, bucket_links, components, in_blocks, majority, mixed, shared_keys, shielded, text_key
+from formlake.llm.common import Saved, band_keys, block_bucket, block_masks, bucket_links, components, in_blocks, majority, mixed, shared_keys, shielded, text_key
 
 
 def shingle_hashes(text: str | None, size: int = 3) -> list[int]:
@@ -69,15 +70,15 @@ class _Fingerprint:
 class PivotFilter:
     """Discards pairs by the pivot table, then verifies the distance."""
 
-    def __init__(self, differ: int, pivots: int = 16):
-        self.differ = differ
+    def __init__(self, differ: int, pivots: int = 16, column: str = "id"):
+        self.differ, self.column = differ, column
         self.pivots = np.array([xxhash.xxh64_intdigest(f"pivot {i}", 42) for i in range(pivots)], dtype=np.uint64)
 
     def table(self, fp: np.ndarray) -> np.ndarray:
         return np.bitwise_count(fp[:, None] ^ self.pivots[None, :]).astype(np.int8)
 
     def __call__(self, rows: pd.DataFrame):
-        fp = rows["id"].to_numpy().view(np.uint64)
+        fp = rows[self.column].to_numpy().view(np.uint64)
         table = self.table(fp)
 
         def link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -122,11 +123,24 @@ def _rows_of(docs: DataFrame, best: DataFrame) -> DataFrame:
     return kept.dropDuplicates(["doc_id", "tk"]).select(*back)
 
 
+#: Above the bits of 64 in which fingerprints of shingle sets with a Jaccard similarity of 0.8 differ: 27 at most among 520,000 made-up pairs of 4 to
+#: 100 shingles, 8 to 12 on average. Unrelated ones differ in 32, give or take 4.
+FAR = 31
+
+
+def block_keys(fp: np.ndarray, blocks: int, differ: int) -> np.ndarray:
+    """Keys (fingerprints, masks): equal for fingerprints that agree under a mask, unlike band_keys of kind 0."""
+    masks = np.array(block_masks(blocks, differ), dtype=np.uint64)
+    own = np.arange(len(masks), dtype=np.uint64)
+    key = mixed((fp.view(np.uint64)[:, None] & masks) ^ mixed(own + np.uint64(1)))
+    return ((key >> np.uint64(32)) | (np.uint64(1 << 8) + own) << np.uint64(32)).view(np.int64)
+
+
 class _Copies:
-    """A row for each document: its id (of equal words) and the keys of its shingles; no keys without words."""
+    """A row for each document: its id (of equal words), its fingerprint, and the keys of its fingerprint and its shingles; no keys without words."""
 
-    def __init__(self, size: int, bands: int, width: int):
-        self.size, self.bands, self.width = size, bands, width
+    def __init__(self, size: int, bands: int, width: int, blocks: int, differ: int):
+        self.size, self.bands, self.width, self.blocks, self.differ = size, bands, width, blocks, differ
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -136,48 +150,49 @@ class _Copies:
                 ids = [xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8").lower().split()) if t else b"", 7) for t in texts]
                 own = [np.unique(np.array(shingle_hashes(t, self.size), dtype=np.uint64)) for t in texts]
                 size = np.array([len(h) for h in own])
-                keys, some = [[]] * len(own), np.flatnonzero(size)
+                keys, some, fp = [[]] * len(own), np.flatnonzero(size), np.zeros(len(own), dtype=np.int64)
                 if len(some):
-                    starts = np.cumsum(size[some]) - size[some]
-                    for i, k in zip(some.tolist(), band_keys(mixed(np.concatenate(own)), starts, self.bands, self.width), strict=True):
+                    starts, hashes = np.cumsum(size[some]) - size[some], np.concatenate(own)
+                    fp[some] = majority(hashes, starts)
+                    all_keys = np.hstack([block_keys(fp[some], self.blocks, self.differ), band_keys(mixed(hashes), starts, self.bands, self.width)])
+                    for i, k in zip(some.tolist(), all_keys, strict=True):
                         keys[i] = k
-                yield pd.DataFrame({"doc_id": part["doc_id"], "tk": part["tk"], "id": np.array(ids, dtype=np.uint64).view(np.int64), "keys": keys})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "tk": part["tk"], "id": np.array(ids, dtype=np.uint64).view(np.int64), "fp": fp, "keys": keys})
 
 
 class _Jaccard:
-    """Jaccard similarity of the texts' distinct shingles."""
+    """Jaccard similarity of the texts' distinct shingles, of pairs that pivot table and distance of their fingerprints leave."""
 
-    def __init__(self, least: float, size: int):
-        self.least, self.size = least, size
+    def __init__(self, least: float, size: int, near: PivotFilter):
+        self.least, self.size, self.near = least, size, near
 
     def __call__(self, rows: pd.DataFrame):
         _, first, at = np.unique(rows["id"].to_numpy(), return_index=True, return_inverse=True)
-        texts = rows["text"].tolist()
+        texts, near = rows["text"].tolist(), self.near(rows)
         sets = [np.unique(np.array(shingle_hashes(texts[i], self.size), dtype=np.uint64)) for i in first]
 
         def link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(x), dtype=bool)
-            for k, (i, j) in enumerate(zip(at[x].tolist(), at[y].tolist(), strict=True)):
-                a, b = sets[i], sets[j]
-                if min(len(a), len(b)) >= self.least * max(len(a), len(b)):
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    out[k] = both >= self.least * (len(a) + len(b) - both) - 1e-9
+            out = near(x, y)
+            for k in np.flatnonzero(out).tolist():
+                a, b = sets[at[x[k]]], sets[at[y[k]]]
+                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= self.least * max(len(a), len(b)) else 0
+                out[k] = both > 0 and both >= self.least * (len(a) + len(b) - both) - 1e-9
             return out
 
         return link
 
 
-def dedup_copies(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 16, width: int = 4) -> DataFrame:
+def dedup_copies(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 16, width: int = 4, far: int = FAR, blocks: int = 5, differ: int = 3, pivots: int = 16) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest doc_id, then of the smallest text key."""
     kind = dict(docs.dtypes)["doc_id"]
     slim = docs.select("doc_id", text_key(F.col("text")).alias("tk"), "text")
-    rows = slim.mapInPandas(_Copies(size, bands, width), f"doc_id {kind}, tk string, id long, keys array<long>")
-    own = Saved(rows.groupBy("id").agg(F.min(F.struct("doc_id", "tk")).alias("first"), F.any_value("keys").alias("keys")))
+    rows = slim.mapInPandas(_Copies(size, bands, width, blocks, differ), f"doc_id {kind}, tk string, id long, fp long, keys array<long>")
+    own = Saved(rows.groupBy("id").agg(F.min(F.struct("doc_id", "tk")).alias("first"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")))
     met = shared_keys(own.df.select("id", "keys"))
-    some = own.df.join(met.df.select("id").distinct().hint("merge"), "id").select("id", F.col("first.doc_id").alias("at_id"), F.col("first.tk").alias("at_tk"))
-    texts = slim.join(some.hint("merge"), F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("tk") == F.col("at_tk"))).select("id", "text")
-    texts = Saved(texts.groupBy("id").agg(F.min("text").alias("text")))
-    roots = components(bucket_links(met.df.join(texts.df.hint("merge"), "id"), _Jaccard(least, size), chunk=1024))
+    some = own.df.join(met.df.select("id").distinct().hint("merge"), "id").select("id", "fp", F.col("first.doc_id").alias("at_id"), F.col("first.tk").alias("at_tk"))
+    texts = slim.join(some.hint("merge"), F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("tk") == F.col("at_tk"))).select("id", "fp", "text")
+    texts = Saved(texts.groupBy("id").agg(F.min("fp").alias("fp"), F.min("text").alias("text")))
+    roots = components(bucket_links(met.df.join(texts.df.hint("merge"), "id"), _Jaccard(least, size, PivotFilter(far, pivots, "fp")), chunk=1024))
     best = own.df.select("id", "first")
     if roots is not None:
         best = best.join(roots.df.withColumnRenamed("node", "id").hint("merge"), "id", "left").groupBy(F.coalesce("root", "id").alias("id")).agg(F.min("first").alias("first"))

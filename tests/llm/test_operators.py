@@ -505,6 +505,18 @@ def test_pipeline_finds_planted_near_copies(spark):
     assert sorted(x["text"] for x in kept if x["doc_id"] is None) == ["no id a", "no id b"]
 
 
+def test_near_copies_go_through_fingerprints(spark):
+    r = random.Random(15)
+    words = [f"w{r.randrange(9999)}" for _ in range(200)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-3], "other"])), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash_dedup.dedup_copies(df).collect()) == [1, 3]
+    assert sorted(x["doc_id"] for x in simhash_dedup.dedup_copies(df, far=0).collect()) == [1, 2, 3]
+    fp = np.array([r.getrandbits(64) for _ in range(50)], dtype=np.uint64)
+    for bits in (1, 2, 3):  # whichever bits differ, a block is equal
+        other = fp ^ np.array([sum(1 << k for k in r.sample(range(64), bits)) for _ in range(50)], dtype=np.uint64)
+        assert (simhash_dedup.block_keys(fp, 5, 3) == simhash_dedup.block_keys(other, 5, 3)).any(axis=1).all()
+
+
 def test_toxicity_learns_every_insult(spark):
     r = random.Random(12)
     word = lambda a, n: "".join(r.choice(a) for _ in range(n))

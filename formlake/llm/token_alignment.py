@@ -82,8 +82,8 @@ def byte_level(path: str) -> _Side:
     def encode(units: list[str]) -> list[list[int]]:
         """Many units in one call, as words of one text; the ends of their bytes part the ids again."""
         if any(u[0].isspace() for u in units):
-            return [x.ids for x in own.encode_batch([" " + u for u in units], add_special_tokens=False)]
-        ids = own.encode(" " + " ".join(units), add_special_tokens=False).ids
+            return [x.ids for x in own.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        ids = own.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids  # without places of letters
         ends = np.cumsum(side.size[ids])
         cut = np.searchsorted(ends, np.cumsum([1 + len(u.encode()) for u in units])) + 1
         return [ids[lo:hi] for lo, hi in zip([0, *cut.tolist()], cut.tolist(), strict=False)]
